@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathtide.llm.looks import look_alike_pairs, one_form
+from pathtide.llm.mixing import mix, mix_report, plan_mix
+from pathtide.llm.packing import pack
 from pathtide.session import table
 
 
@@ -20,6 +22,70 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
     return one_form(table(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "repaired", "form")
 
 
-QUERIES = {"p8_found": p8_found, "p8_forms": p8_forms}
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Token sizes: the byte tokenizer of mix and pack has one token per UTF-8 byte."""
+    return table(spark, d, "documents").select("doc_id", "source", F.octet_length("text").alias("tokens"))
 
-SQL: dict[str, str] = {}
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    # pack_spec is a fixed, tiny table of settings: each capacity is planned on its own.
+    specs = table(spark, d, "pack_spec").select("pack_id", "capacity_tokens").collect()
+    parts = [pack(_sizes(spark, d), "doc_id", "tokens", c).withColumn("pack_id", F.lit(k)) for k, c in specs]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that had to be split, per capacity."""
+    return _packed(spark, d).filter(F.col("piece") == 1).select("pack_id", F.col("id").alias("doc_id")).distinct()
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's (or piece's) container, per capacity."""
+    return _packed(spark, d).select("pack_id", "container", F.col("id").alias("doc_id"), "piece", F.col("size").alias("tokens"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How well the containers are filled, per capacity."""
+    packed = _packed(spark, d).filter(F.col("container").isNotNull())
+    got = packed.groupBy("pack_id").agg(F.countDistinct("container").alias("containers"), F.sum("size").alias("tokens"))
+    got = got.join(table(spark, d, "pack_spec"), "pack_id")
+    return got.withColumn("fill", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6))
+
+
+def _plan(spark: SparkSession, d: str) -> DataFrame:
+    return plan_mix(_sizes(spark, d), "doc_id", "source", "tokens", table(spark, d, "mix_target"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """The sources that can't reach their target share within their repeats."""
+    return _plan(spark, d).filter("short").select("source")
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture itself: every copy of a document with its place."""
+    got = mix(_sizes(spark, d), "doc_id", "source", "tokens", _plan(spark, d))
+    return got.select("source", F.col("id").alias("doc_id"), "pass_no", F.col("size").alias("tokens"), "position")
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares the mixture reaches beside the targets."""
+    plan = _plan(spark, d)
+    return mix_report(mix(_sizes(spark, d), "doc_id", "source", "tokens", plan), plan)
+
+
+QUERIES = {
+    "p6_found": p6_found, "p6_containers": p6_containers, "p6_fill": p6_fill,
+    "p7_found": p7_found, "p7_mixture": p7_mixture, "p7_shares": p7_shares,
+    "p8_found": p8_found, "p8_forms": p8_forms,
+}
+
+SQL: dict[str, str] = {
+    "p6_found": "SELECT pack_id, doc_id FROM documents, pack_spec WHERE strlen(text) > capacity_tokens",
+    "p7_found": """
+WITH sizes AS (SELECT m.source, any_value(m.target_share) AS t, any_value(m.max_repeats) AS r, coalesce(sum(strlen(text)), 0) AS n
+  FROM mix_target m LEFT JOIN documents d ON d.source = m.source GROUP BY m.source)
+SELECT source FROM sizes WHERE r * n < t * (SELECT sum(n) FROM sizes)""",
+}

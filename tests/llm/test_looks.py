@@ -69,4 +69,4 @@ def test_vocabulary_repair_and_edges(spark):
 def test_token_rules():
     assert token_scripts("ѕecοnd") == (True, "L", "L") and rewritten("ѕecοnd", "L") == "second"
     assert rewritten("Oκολo", "G") == "Οκολο" and token_scripts("ВОР")[1] is None
-    assert plain("é") == "é" and plain("ﬁ​ｘ") == "fi x"
+    assert plain("é") == "é" and plain("ﬁ​ｘ") == "fix"
