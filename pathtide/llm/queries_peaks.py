@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathtide.llm.setjoin import class_links, set_records, similar_classes, similar_pairs
+from pathtide.llm.sites import link_sites
 from pathtide.llm.topn import top_n
 from pathtide.session import cut, table
 
@@ -37,7 +38,17 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return top_n(table(spark, d, "graph_peaks"), ["sample_id", "chromosome"], "average_q_value", "peak_id", BEST)
 
 
-QUERIES = {"p3_found": p3_found, "p3_classes": p3_classes, "p4_found": p4_found}
+def p5_links(spark: SparkSession, d: str) -> DataFrame:
+    """The matches of graph and linear peaks, each with its confidence."""
+    return link_sites(*(table(spark, d, t) for t in ("graph_peaks", "nodes", "samples", "linear_peaks", "linear_runs")))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The matching pairs of graph and linear peaks."""
+    return p5_links(spark, d).select("peak_id", "lp_id")
+
+
+QUERIES = {"p3_found": p3_found, "p3_classes": p3_classes, "p4_found": p4_found, "p5_found": p5_found, "p5_links": p5_links}
 
 _SETS = """
 WITH sets AS (SELECT DISTINCT unique_id AS u, list_sort(list_distinct(list_transform(region_paths, lambda x: abs(x)))) AS s FROM graph_peaks
