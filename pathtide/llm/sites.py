@@ -10,6 +10,8 @@ from pathtide.session import cut
 
 #: Width of a position block, and how far starts or ends may lie apart: a share of the length, at least so many positions.
 BLOCK_WIDTH, REACH, LEAST_REACH = 1024, 0.5, 60
+#: Label comparisons in which a run and a sample may disagree outright.
+MOST_CONFLICTS = 1
 #: Least posterior of a match.
 CONFIDENCE = 0.5
 
@@ -76,7 +78,8 @@ def run_sample_candidates(runs: DataFrame, samples: DataFrame) -> DataFrame:
     """Pairs of a run and a sample that may belong together, with the agreement levels of their labels.
 
     Two passes: a word of the label has the factor's letters; or the label begins with the tissue's
-    letters and the run was called soon after sequencing.
+    letters and the run was called soon after sequencing. Of these, pairs that conflict in more
+    than ``MOST_CONFLICTS`` of factor, tissue, replicate, reads and date are no candidates.
     """
     own = run_labels(runs)
     factor = F.regexp_replace(F.lower("factor"), "[^a-z0-9]", "")
@@ -97,7 +100,10 @@ def run_sample_candidates(runs: DataFrame, samples: DataFrame) -> DataFrame:
         Comparison("reads", [F.abs(ratio - 1) <= 0.1, F.abs(ratio - 1) <= 0.3], ratio.isNull()),
         Comparison("days", [days.between(0, 35), days.between(-2, 90)], days.isNull()),
     ]
-    return got.select("run_id", "sample_id", *[c.level() for c in levels])
+    got = got.select("run_id", "sample_id", *[c.level() for c in levels])
+    # The last level of a comparison is a conflict; a pair may have one, not more.
+    conflicts = sum((F.col(f"c_{c.name}") == len(c.levels)).cast("int") for c in levels)
+    return got.filter(conflicts <= MOST_CONFLICTS)
 
 
 LABEL_COMPARISONS = {"factor": 2, "tissue": 2, "replicate": 1, "reads": 2, "days": 2}
