@@ -7,10 +7,10 @@ import pandas as pd
 from pyspark.sql import SparkSession
 
 
-def spark_session() -> SparkSession:
+def spark_session(partitions: int = 8) -> SparkSession:
     spark = (
         SparkSession.builder.master("local[8]").appName("pathtide")
-        .config("spark.sql.shuffle.partitions", "8").config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.shuffle.partitions", str(partitions)).config("spark.default.parallelism", str(partitions)).config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false").config("spark.driver.memory", "8g")
         .config("spark.ui.showConsoleProgress", "false").config("spark.driver.host", "127.0.0.1")
         .getOrCreate()
