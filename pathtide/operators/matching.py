@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,35 +9,27 @@ from pathtide.operators.joins import overlap_join
 from pathtide.session import cut
 
 
-def _greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Within each region, the first set's best interval takes the best free partner it overlaps."""
-    for pdf in batches:
-        out = []
-        for members in pdf["members"]:
-            a = sorted((m for m in members if m["side"] == 0), key=lambda m: (-m["score"], m["id"]))
-            b = sorted((m for m in members if m["side"] == 1), key=lambda m: (-m["score"], m["id"]))
-            free = [True] * len(b)
-            for x in a:
-                for k, y in enumerate(b):
-                    if free[k] and x["a"] < y["b"] and y["a"] < x["b"]:
-                        free[k] = False
-                        out.append((x["id"], y["id"]))
-                        break
-        yield pd.DataFrame({"id_a": pd.Series([p[0] for p in out], dtype="int64"), "id_b": pd.Series([p[1] for p in out], dtype="int64")})
-
+def greedy_matches(ours: DataFrame, theirs: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs (id_a, id_b) of overlapping intervals, each id at most once; sides: keys, id, a, b, score.
 
-def greedy_matches(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """Pairs (id_a, id_b) of overlapping intervals, each id at most once; sides: id, chrom, a, b, score.
-
-    The order is that of falling score (then id) in ``ours``; each takes the free partner of the
-    highest score. Intervals in different regions of overlap can't compete, so the greedy walk runs
-    region by region: a region is a continuous period of the intervals that have a partner at all.
+    In the order of falling score (then id) each interval of ``ours`` takes, of the free ones of
+    ``theirs`` it overlaps, the one of the highest score (then lowest id). The walk is done in
+    rounds: a pair is settled when the partner is the best one left for the interval and the
+    interval is the first in order among those left for the partner - no earlier one can then take
+    it. Every round settles at least the first interval left of every region. Ids are unique within
+    a side; rows without a score take no part.
     """
-    from pathtide.operators.periods import merge_periods
-
-    both = ours.select("id", "chrom", "a", "b", "score", F.lit(0).alias("side")).unionByName(theirs.select("id", "chrom", "a", "b", "score", F.lit(1).alias("side")))
-    both = cut(both.filter(F.col("a") < F.col("b")))
-    periods = merge_periods(both, ["chrom"], "a", "b").filter("kind = 'period' and n_members > 1").select("chrom", F.col("start_pos").alias("pa"), F.col("end_pos").alias("pb"))
-    inside = overlap_join(both, periods, ["chrom"], ("a", "b"), ("pa", "pb"))
-    grouped = inside.groupBy("chrom", "pa").agg(F.collect_list(F.struct("side", "id", "a", "b", "score")).alias("members"))
-    return grouped.mapInPandas(_greedy, "id_a long, id_b long")
+    a = ours.filter(F.col("score").isNotNull()).select(*keys, F.col("id").alias("id_a"), F.col("a").alias("a0"), F.col("b").alias("a1"), F.col("score").alias("sa"))
+    b = theirs.filter(F.col("score").isNotNull()).select(*keys, F.col("id").alias("id_b"), F.col("a").alias("b0"), F.col("b").alias("b1"), F.col("score").alias("sb"))
+    left = cut(overlap_join(a, b, keys, ("a0", "a1"), ("b0", "b1")).select("id_a", "id_b", "sa", "sb"))
+    done = []
+    while not left.isEmpty():
+        choice = left.groupBy("id_a").agg(F.max(F.struct("sb", (-F.col("id_b")).alias("k"))).k.alias("k")).select("id_a", (-F.col("k")).alias("id_b"))
+        first = left.groupBy("id_b").agg(F.max(F.struct("sa", (-F.col("id_a")).alias("k"))).k.alias("k")).select("id_b", (-F.col("k")).alias("id_a"))
+        settled = cut(choice.join(first, ["id_a", "id_b"]))
+        done.append(settled)
+        left = cut(left.join(settled.select("id_a"), "id_a", "left_anti").join(settled.select("id_b"), "id_b", "left_anti"))
+    out = ours.sparkSession.createDataFrame([], a.join(b, keys).select("id_a", "id_b").schema)
+    for part in done:
+        out = out.unionByName(part)
+    return out

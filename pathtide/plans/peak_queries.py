@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from pathtide.operators.joins import overlap_join
 from pathtide.operators.matching import greedy_matches
+from pathtide.operators.periods import merge_periods
+from pathtide.operators.scan import ranked
 from pathtide.operators.tracks import coverage
 from pathtide.plans.base import EDGES, LINEAR, READS, STEPS, edges, linear, nodes, reads, runs_sql, steps
 from pathtide.session import cut, table
@@ -73,14 +75,14 @@ def split_by_node_range(spark: SparkSession, d: str) -> DataFrame:
 
 
 def peak_overlap_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """Reads of the best sample's peaks with another sample's peak on a node: how many samples share each read's nodes."""
+    """For every peak, the most samples and the most peaks that share one of its nodes."""
     s = steps(spark, d).select("read_id", "sample_id", "node_id").distinct()
     per = s.groupBy("node_id").agg(F.countDistinct("sample_id").alias("n_samples"), F.count(F.lit(1)).alias("n_reads"))
     return s.join(per, "node_id").groupBy("read_id", "sample_id").agg(F.max("n_samples").alias("most_samples"), F.max("n_reads").alias("most_reads"))
 
 
 def interval_intersection(spark: SparkSession, d: str) -> DataFrame:
-    """Linear peaks of each run that overlap a peak of their stretch's graph peaks: base pairs shared, per linear peak."""
+    """Linear peaks that graph peaks overlap by enough base pairs: the base pairs, and how many graph peaks lie there at most."""
     cover = coverage(_projected(spark, d), ["chrom"], "a", "b")
     both = overlap_join(linear(spark, d).select("lp_id", "chrom", "a", "b"), cover, ["chrom"], ("a", "b"), ("start_pos", "end_pos"))
     got = both.groupBy("lp_id").agg(F.sum(F.least("b", "end_pos") - F.greatest("a", "start_pos")).alias("shared_bp"), F.max("value").alias("most_peaks"))
@@ -95,33 +97,34 @@ def identical_peaks(spark: SparkSession, d: str) -> DataFrame:
 
 def similar_peaks(spark: SparkSession, d: str) -> DataFrame:
     """Intervals on the same path whose ends lie within a few base pairs of the path's first called interval."""
-    w = Window.partitionBy("rp").orderBy("s", "e", "read_id")
     firsts = reads(spark, d).groupBy("rp").agg(F.min(F.struct("s", "e", "read_id")).alias("f"))
     got = reads(spark, d).join(firsts, "rp").filter(F.col("read_id") != F.col("f.read_id"))
-    del w
     return got.filter((F.abs(F.col("s") - F.col("f.s")) <= MISMATCH) & (F.abs(F.col("e") - F.col("f.e")) <= MISMATCH)).select("read_id", F.col("f.read_id").alias("first_id"))
 
 
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Graph peaks on the linear axis and linear peaks, with scores: the two callers' sets."""
-    ours = _projected(spark, d).join(_good(spark, d).select("read_id", "q"), "read_id").select(F.col("read_id").alias("id"), "chrom", "a", "b", F.col("q").alias("score"))
-    theirs = linear(spark, d).filter("score is not null").select(F.col("lp_id").alias("id"), "chrom", "a", "b", "score")
-    return ours, theirs
+    """Graph peaks on the linear axis and linear peaks of the same factor, with scores: the two callers' sets."""
+    factors = table(spark, d, "samples").select("sample_id", F.upper("factor").alias("factor"))
+    named = F.regexp_extract(F.regexp_replace(F.upper("run_label"), "-", ""), "[A-Z]{2,}[0-9]+", 0)
+    runs = table(spark, d, "linear_runs").select("run_id", named.alias("factor"))
+    ours = _projected(spark, d).join(_good(spark, d).select("read_id", "q"), "read_id").join(factors, "sample_id")
+    theirs = linear(spark, d).filter("score is not null").join(runs, "run_id")
+    return ours.select(F.col("read_id").alias("id"), "factor", "chrom", "a", "b", F.col("q").alias("score")), theirs.select(F.col("lp_id").alias("id"), "factor", "chrom", "a", "b", "score")
 
 
 def peak_set_matching(spark: SparkSession, d: str) -> DataFrame:
-    """One-to-one matching of the two callers' peaks, best scores first, within regions of overlapping peaks."""
-    return greedy_matches(*_sides(spark, d))
+    """One-to-one matching of the two callers' peaks of a factor, best scores first."""
+    return greedy_matches(*_sides(spark, d), ["factor", "chrom"])
 
 
 def peak_compare_report(spark: SparkSession, d: str) -> DataFrame:
-    """Totals, shared and unique peaks of both callers per chromosome."""
+    """Totals, shared and unique peaks of both callers per factor."""
     ours, theirs = _sides(spark, d)
-    m = cut(greedy_matches(ours, theirs))
-    a = ours.join(m.select(F.col("id_a").alias("id"), F.lit(1).alias("hit")), "id", "left").groupBy("chrom").agg(F.count(F.lit(1)).alias("total_graph"), F.count("hit").alias("shared"))
-    b = theirs.groupBy("chrom").agg(F.count(F.lit(1)).alias("total_linear"))
-    got = a.join(b, "chrom", "full").na.fill(0, ["total_graph", "total_linear", "shared"])
-    return got.select("chrom", "total_graph", "total_linear", "shared", (F.col("total_graph") - F.col("shared")).alias("unique_graph"), (F.col("total_linear") - F.col("shared")).alias("unique_linear"))
+    m = cut(greedy_matches(ours, theirs, ["factor", "chrom"]))
+    a = ours.join(m.select(F.col("id_a").alias("id"), F.lit(1).alias("hit")), "id", "left").groupBy("factor").agg(F.count(F.lit(1)).alias("total_graph"), F.count("hit").alias("shared"))
+    b = theirs.groupBy("factor").agg(F.count(F.lit(1)).alias("total_linear"))
+    got = a.join(b, "factor", "full").na.fill(0, ["total_graph", "total_linear", "shared"])
+    return got.select("factor", "total_graph", "total_linear", "shared", (F.col("total_graph") - F.col("shared")).alias("unique_graph"), (F.col("total_linear") - F.col("shared")).alias("unique_linear"))
 
 
 def peak_composition(spark: SparkSession, d: str) -> DataFrame:
@@ -195,8 +198,7 @@ def motif_contingency(spark: SparkSession, d: str) -> DataFrame:
 def motif_enrichment(spark: SparkSession, d: str) -> DataFrame:
     """Share of peaks with the motif among the best 1, 2, ... peaks of each sample, by falling q."""
     got = _good(spark, d).join(_hits(spark, d), "read_id", "left").select("sample_id", "read_id", "q", F.col("n_hits").isNotNull().cast("int").alias("hit"))
-    w = Window.partitionBy("sample_id").orderBy(F.desc("q"), "read_id")
-    got = got.withColumn("place", F.row_number().over(w)).withColumn("hits", F.sum("hit").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    got = ranked(got, ["sample_id"], "q", "read_id", 1.0, {"hits": F.col("hit")})
     return got.select("sample_id", "read_id", "place", F.round(F.col("hits") / F.col("place"), 9).alias("share"))
 
 
@@ -223,8 +225,8 @@ def top_peaks(spark: SparkSession, d: str) -> DataFrame:
 
 def concat_peaks(spark: SparkSession, d: str) -> DataFrame:
     """All peaks of all chromosomes, numbered by falling q within their sample: peak0, peak1, ..."""
-    w = Window.partitionBy("sample_id").orderBy(F.desc("q"), "read_id")
-    return _good(spark, d).select("sample_id", "read_id", "q", F.concat(F.lit("peak"), (F.row_number().over(w) - 1).cast("string")).alias("name"))
+    got = ranked(_good(spark, d).select("sample_id", "read_id", "q"), ["sample_id"], "q", "read_id", 1.0)
+    return got.select("sample_id", "read_id", "q", F.concat(F.lit("peak"), (F.col("place") - 1).cast("string")).alias("name"))
 
 
 def region_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -271,8 +273,6 @@ def variants_in_intervals(spark: SparkSession, d: str) -> DataFrame:
 def variant_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Runs of off-path nodes with touching flat positions."""
     off = nodes(spark, d).filter("path_offset is null").select("chrom", "node_index", (F.col("node_index") + F.col("size")).alias("node_end"))
-    from pathtide.operators.periods import merge_periods
-
     got = merge_periods(off, ["chrom"], "node_index", "node_end").filter("kind = 'period'")
     return got.select("chrom", "start_pos", "end_pos", F.col("n_members").alias("n_variants"))
 
@@ -286,7 +286,7 @@ def haplotype_step(spark: SparkSession, d: str) -> DataFrame:
 
 
 def genotype_match(spark: SparkSession, d: str) -> DataFrame:
-    """Samples that have every variant of a chromosome's most called one: the number of its peaks' variants they share."""
+    """How many of a chromosome's common variants (called in two samples or more) each sample has, and whether it has all."""
     s = steps(spark, d).filter("path_offset is null").select("sample_id", "chrom", "node_id").distinct()
     want = s.groupBy("chrom", "node_id").agg(F.count(F.lit(1)).alias("n"))
     common = want.filter("n >= 2").select("chrom", "node_id")
