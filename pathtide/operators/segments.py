@@ -96,7 +96,7 @@ def fill_holes(runs: DataFrame, nodes: DataFrame, edges: DataFrame, touched: Dat
     holes at the graph's own ends, whole nodes that are not in ``touched`` (chrom, node_id), what
     follows the last run, and components of more than ``MOST_HOLES`` segments or without an entry.
     """
-    holes = segments(holes_between(runs, nodes), nodes)
+    holes = cut(segments(holes_between(runs, nodes), nodes))
     inner = holes.filter((F.col("kind") == "internal") & (F.col("b") - F.col("a") <= longest))
     active = cut(segments(runs, nodes))
     seen = touched.select("node_id").distinct()
@@ -115,14 +115,14 @@ def fill_holes(runs: DataFrame, nodes: DataFrame, edges: DataFrame, touched: Dat
     can_leave = edges.join(starts_active, "dst", "left_semi").select(F.col("src").alias("node_id")).distinct().withColumn("leaves", F.lit(True))
     entry = (F.col("kind") == "end") | F.coalesce("enters", F.lit(False))
     leave = (F.col("kind") == "start") | F.coalesce("leaves", F.lit(False))
-    ready = border.join(can_enter, "node_id", "left").join(can_leave, "node_id", "left").withColumn("entry", entry).withColumn("exit", leave)
+    ready = cut(border.join(can_enter, "node_id", "left").join(can_leave, "node_id", "left").withColumn("entry", entry).withColumn("exit", leave))
     parts = components(border.select("id"), links.select(F.col("u").alias("a"), F.col("v").alias("b")))
     succ = links.groupBy(F.col("u").alias("id")).agg(F.collect_set("v").alias("succ"))
     ready = ready.join(parts, "id").join(succ, "id", "left").withColumn("succ", F.coalesce("succ", F.array().cast("array<bigint>")))
     sizes = ready.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     small = ready.join(sizes.filter(F.col("n") <= MOST_HOLES), "component", "left_semi")
     grouped = small.groupBy("component").agg(F.collect_list(F.struct("id", "len", "entry", "exit", "succ")).alias("members"))
-    filled = border.join(grouped.mapInPandas(_hole_needs(longest), "id long"), "id", "left_semi")
+    filled = border.join(cut(grouped).mapInPandas(_hole_needs(longest), "id long"), "id", "left_semi")
     add = inner.select("chrom", "a", "b").unionByName(filled.select("chrom", "a", "b"))
     both = runs.select("chrom", "start_pos", "end_pos").unionByName(add.select("chrom", F.col("a").alias("start_pos"), F.col("b").alias("end_pos")))
     return coalesce_runs(both.withColumn("value", F.lit(True)), ["chrom"]).drop("value")

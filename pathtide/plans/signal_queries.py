@@ -24,44 +24,51 @@ def _coarse(places: int) -> Column:
     return F.floor(F.col("p") * 10**places + 0.5) / 10**places
 
 
-def _ends(spark: SparkSession, d: str) -> DataFrame:
+def _ends(own: DataFrame) -> DataFrame:
     """Where forward reads end: read_id, node_id, offset."""
-    return steps(spark, d).filter("i = n - 1 and node > 0").select("read_id", "node_id", F.col("hi").alias("offset"))
+    return own.filter("i = n - 1 and node > 0").select("read_id", "node_id", F.col("hi").alias("offset"))
 
 
-def _ends_reverse(spark: SparkSession, d: str) -> DataFrame:
+def _ends_reverse(own: DataFrame) -> DataFrame:
     """Where reverse reads end, counted from the node's far end."""
-    return steps(spark, d).filter("i = n - 1 and node < 0").select("read_id", "node_id", (F.col("size") - F.col("lo")).alias("offset"))
+    return own.filter("i = n - 1 and node < 0").select("read_id", "node_id", (F.col("size") - F.col("lo")).alias("offset"))
 
 
 def read_extension(spark: SparkSession, d: str) -> DataFrame:
     """Forward reads extended along all branches: how far into each node they reach."""
-    return extend_reads(_ends(spark, d), nodes(spark, d), edges(spark, d), EXTENSION)
+    return extend_reads(_ends(steps(spark, d)), nodes(spark, d), edges(spark, d), EXTENSION)
 
 
 def read_extension_reverse(spark: SparkSession, d: str) -> DataFrame:
     """Reverse reads extended against the edges; reach is counted from the node's end."""
-    back = edges(spark, d).select("chrom", F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return extend_reads(_ends_reverse(spark, d), nodes(spark, d), back, EXTENSION)
+    return extend_reads(_ends_reverse(steps(spark, d)), nodes(spark, d), _turned(edges(spark, d)), EXTENSION)
 
 
-def _extended(spark: SparkSession, d: str) -> DataFrame:
-    """Flat ranges (read_id, chrom, a, b) of reads with their extension."""
-    own = steps(spark, d).select("read_id", "chrom", "a", "b")
-    at = nodes(spark, d).select("node_id", "chrom", "node_index", "size")
-    first = _ends(spark, d).withColumnRenamed("offset", "from_")
-    fwd = read_extension(spark, d).join(at, "node_id").join(first, ["read_id", "node_id"], "left")
+def _turned(links: DataFrame) -> DataFrame:
+    return links.select("chrom", F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
+def _extended(own: DataFrame, graph: DataFrame, links: DataFrame) -> DataFrame:
+    """Flat ranges (read_id, chrom, a, b) of the reads' steps and of their extensions."""
+    at = graph.select("node_id", "chrom", "node_index", F.col("size").alias("bp"))
+    first, last = _ends(own).withColumnRenamed("offset", "from_"), _ends_reverse(own).withColumnRenamed("offset", "from_")
+    fwd = cut(extend_reads(_ends(own), graph, links, EXTENSION)).join(at, "node_id").join(first, ["read_id", "node_id"], "left")
     fwd = fwd.select("read_id", "chrom", (F.col("node_index") + F.coalesce("from_", F.lit(0))).alias("a"), (F.col("node_index") + F.col("reach")).alias("b"))
-    last = _ends_reverse(spark, d).withColumnRenamed("offset", "from_")
-    rev = read_extension_reverse(spark, d).join(at.withColumnRenamed("size", "bp"), "node_id").join(last, ["read_id", "node_id"], "left")
+    rev = cut(extend_reads(_ends_reverse(own), graph, _turned(links), EXTENSION)).join(at, "node_id").join(last, ["read_id", "node_id"], "left")
     end = F.col("node_index") + F.col("bp")
     rev = rev.select("read_id", "chrom", (end - F.col("reach")).alias("a"), (end - F.coalesce("from_", F.lit(0))).alias("b"))
-    return own.unionByName(fwd).unionByName(rev)
+    return cut(own.select("read_id", "chrom", "a", "b").unionByName(fwd).unionByName(rev))
 
 
 def sample_pileup(spark: SparkSession, d: str) -> DataFrame:
     """Coverage of the reads and their extensions, both strands."""
-    return coverage(_extended(spark, d), ["chrom"], "a", "b")
+    return coverage(_extended(*_base(spark, d)), ["chrom"], "a", "b")
+
+
+def _base(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Steps, nodes and edges, each written once for the many stages that read them."""
+    own = steps(spark, d).select("read_id", "i", "n", "node", "node_id", "chrom", "size", "lo", "hi", "a", "b")
+    return cut(own), cut(nodes(spark, d).select("chrom", "node_id", "size", "node_index")), cut(edges(spark, d))
 
 
 def graph_linear_map(spark: SparkSession, d: str) -> DataFrame:
@@ -132,47 +139,49 @@ def significant_runs(spark: SparkSession, d: str) -> DataFrame:
     return threshold(q_track(spark, d).withColumnRenamed("q", "value"), ["chrom"], LEVEL)
 
 
-def _background_on_graph(spark: SparkSession, d: str) -> tuple[DataFrame, float]:
-    """Background of the reads' starts, on the flat axis of the nodes they touch (chrom, start_pos, end_pos, lam), and its least value."""
-    lmap = cut(graph_linear_map(spark, d))
-    at = steps(spark, d).filter("i = 0").select("read_id", "node_id", F.when(F.col("node") > 0, F.col("lo")).otherwise(F.col("hi")).alias("offset"))
+def _touched(ranges: DataFrame, graph: DataFrame) -> DataFrame:
+    """Nodes that ranges lie on: chrom, node_id, node_index, node_end."""
+    own = graph.select("chrom", "node_id", "node_index", (F.col("node_index") + F.col("size")).alias("node_end"))
+    hit = overlap_join(ranges.select("chrom", "a", "b").distinct(), own, ["chrom"], ("a", "b"), ("node_index", "node_end"))
+    return cut(hit.select("chrom", "node_id", "node_index", "node_end").distinct())
+
+
+def _background_on_graph(own: DataFrame, graph: DataFrame, links: DataFrame, touched: DataFrame) -> tuple[DataFrame, float]:
+    """Background of the reads' starts, on the flat axis of the touched nodes (chrom, start_pos, end_pos, lam), and its least value."""
+    lmap = cut(linear_map(graph.select("chrom", "node_id", "size"), links))
+    at = own.filter("i = 0").select("read_id", "node_id", F.when(F.col("node") > 0, F.col("lo")).otherwise(F.col("hi")).alias("offset"))
     pos = F.floor(F.col("lin_start") + F.col("offset") * (F.col("lin_end") - F.col("lin_start")) / F.col("size"))
-    starts = at.join(lmap, "node_id").select("chrom", pos.alias("at"))
-    n, length = reads(spark, d).count(), lmap.groupBy("chrom").agg(F.max("lin_end").alias("l")).agg(F.sum("l")).first()[0]
+    starts = cut(at.join(lmap, "node_id").select("chrom", pos.alias("at")))
+    n, length = starts.count(), lmap.groupBy("chrom").agg(F.max("lin_end").alias("l")).agg(F.sum("l")).first()[0]
     least = n * FRAGMENT / length if length else 0.0
-    lam = background(starts, FRAGMENT, SCALES[-1:], F.lit(least))
-    touched = _extended(spark, d).select("chrom", "a", "b").distinct()
-    own = nodes(spark, d).select("chrom", "node_id", "node_index", (F.col("node_index") + F.col("size")).alias("node_end"))
-    hit = overlap_join(touched, own, ["chrom"], ("a", "b"), ("node_index", "node_end")).select("node_id", "node_index", "node_end").distinct()
-    hit = hit.join(lmap, "node_id")
+    lam = cut(background(starts, FRAGMENT, SCALES[-1:], F.lit(least)))
+    hit = touched.drop("chrom").join(lmap, "node_id")
     both = overlap_join(hit, lam, ["chrom"], ("lin_start", "lin_end"), ("start_pos", "end_pos"))
     scale = (F.col("lin_end") - F.col("lin_start")) / F.col("size")
     a = F.col("node_index") + F.floor((F.greatest("lin_start", "start_pos") - F.col("lin_start")) / scale)
     b = F.when(F.col("end_pos") >= F.col("lin_end"), F.col("node_end")).otherwise(F.col("node_index") + F.floor((F.col("end_pos") - F.col("lin_start")) / scale))
-    got = both.select("chrom", a.alias("start_pos"), b.alias("end_pos"), "lam").filter("start_pos < end_pos")
-    return got, least
+    return both.select("chrom", a.alias("start_pos"), b.alias("end_pos"), "lam").filter("start_pos < end_pos"), least
 
 
 def background_to_graph(spark: SparkSession, d: str) -> DataFrame:
     """The reads' background, from the linear map back to the nodes."""
-    return _background_on_graph(spark, d)[0]
+    own, graph, links = _base(spark, d)
+    return _background_on_graph(own, graph, links, _touched(_extended(own, graph, links), graph))[0]
 
 
 def called_peaks(spark: SparkSession, d: str) -> DataFrame:
     """The whole way from reads to peaks: pileup, background, p, q, regions, holes, paths, scores."""
-    own, links = cut(nodes(spark, d).select("chrom", "node_id", "size", "node_index")), cut(edges(spark, d))
-    ranges = cut(_extended(spark, d))
-    sample = coverage(ranges, ["chrom"], "a", "b")
-    lam, least = _background_on_graph(spark, d)
+    own, graph, links = _base(spark, d)
+    ranges = _extended(own, graph, links)
+    touched = _touched(ranges, graph)
+    lam, least = _background_on_graph(own, graph, links, touched)
+    sample, lam = cut(coverage(ranges, ["chrom"], "a", "b")), cut(lam)
     p = cut(p_track(sample, lam, F.lit(1.0), F.lit(1.0), F.lit(least)).withColumn("p", _coarse(4)))
-    bp = own.agg(F.sum("size")).first()[0] or 1
-    q = cut(p.join(q_values(p, bp).select("p", "q"), "p").select("chrom", "start_pos", "end_pos", F.col("q").alias("value")))
-    runs = cut(threshold(q, ["chrom"], LEVEL))
-    seen = overlap_join(ranges.select("chrom", "a", "b").distinct(), own.withColumn("node_end", F.col("node_index") + F.col("size")), ["chrom"], ("a", "b"), ("node_index", "node_end")).select("chrom", "node_id").distinct()
-    filled = cut(fill_holes(runs, own, links, seen, HOLE))
-    direct = coverage(steps(spark, d), ["chrom"], "a", "b")
-    peaks = max_paths(filled, own, links, direct).withColumn("id", F.xxhash64("region_paths", "start_off"))
-    scored = peak_scores(cut(peaks), own, q).filter(F.col("bp") >= EXTENSION)
+    q = cut(p.join(q_values(p, graph.agg(F.sum("size")).first()[0] or 1).select("p", "q"), "p").select("chrom", "start_pos", "end_pos", F.col("q").alias("value")))
+    filled = cut(fill_holes(cut(threshold(q, ["chrom"], LEVEL)), graph, links, touched, HOLE))
+    direct = cut(coverage(own, ["chrom"], "a", "b"))
+    peaks = cut(max_paths(filled, graph, links, direct).withColumn("id", F.xxhash64("region_paths", "start_off")))
+    scored = peak_scores(peaks, graph, q).filter(F.col("bp") >= EXTENSION)
     return scored.select("chrom", "start_off", "end_off", "region_paths", F.lit(1).alias("direction"), F.col("score").alias("average_q_value"), F.col("is_ambiguous").cast("int").alias("is_ambigous"), F.col("is_diff").cast("int").alias("is_diff"), "bp")
 
 

@@ -57,21 +57,39 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(40)}, 100: 100, 102: 100, 101: 101}
 
 
-@pytest.mark.parametrize(
-    ("sizes", "links", "points", "longest", "touched", "want"),
-    [
-        ({1: 12}, [], [(0, 0), (5, 1), (10, 0)], 4, None, [(5, 10)]),
-        ({n: 1 for n in range(1, 101)}, [(n, n + 1) for n in range(1, 100)], [(0, 1), (5, 0), (95, 1), (100, 0)], 56, None, [(0, 5), (95, 100)]),
-        ({n: 2 for n in range(1, 11)}, CHAIN, [(0, 1), (1, 0), (2, 1), (4, 0), (6, 1), (8, 0), (10, 1), (12, 0), (14, 1), (20, 0)], 3, None, [(0, 8), (10, 20)]),
-        ({101: 100}, [], [(0, 1), (10, 0), (19, 1), (30, 0), (41, 1), (50, 0)], 10, None, [(0, 30), (41, 50)]),
-        ({n: 10 for n in range(101, 107)}, [(101, 102), (102, 103), (102, 104), (103, 105), (104, 105), (105, 106)], [(0, 1), (4, 0), (22, 1), (28, 0), (56, 1), (60, 0)], 4, [101, 103, 106], [(0, 4), (22, 28), (56, 60)]),
-        ({n: 10 for n in range(101, 107)}, [(101, 102), (102, 103), (102, 104), (103, 105), (104, 105), (105, 106)], [(0, 1), (4, 0), (22, 1), (28, 0), (56, 1), (60, 0)], 20, None, [(0, 30), (40, 60)]),
-    ],
-)
-def test_holes(spark, sizes, links, points, longest, touched, want):
-    nodes, edges = graph(spark, sizes, links or [(-1, 0)])
-    seen = spark.createDataFrame([("c", n) for n in touched or sizes], "chrom string, node_id long")
-    assert areas(fill_holes(runs(spark, points), nodes, edges, seen, longest)) == want
+def several(spark, cases):
+    """One table of several graphs: case k has the chromosome ck and node ids from 1000 * k."""
+    nodes, edges, tracks, touched = [], [], [], []
+    for k, (sizes, links, points, seen) in enumerate(cases):
+        at = 0
+        for n in sorted(sizes):
+            nodes.append((f"c{k}", 1000 * k + n, sizes[n], at))
+            at += sizes[n]
+        edges += [(f"c{k}", 1000 * k + a, 1000 * k + b) for a, b in links]
+        tracks += [(f"c{k}", a, b, float(v)) for (a, v), (b, _) in zip(points, points[1:]) if v]
+        touched += [(f"c{k}", 1000 * k + n) for n in seen or sizes]
+    return (
+        spark.createDataFrame(nodes, "chrom string, node_id long, size int, node_index long"), spark.createDataFrame(edges, "chrom string, src long, dst long"),
+        spark.createDataFrame(tracks, "chrom string, start_pos long, end_pos long, value double"), spark.createDataFrame(touched, "chrom string, node_id long"),
+    )
+
+
+def test_holes(spark):
+    bubble = [(101, 102), (102, 103), (102, 104), (103, 105), (104, 105), (105, 106)]
+    six, six_runs = {n: 10 for n in range(101, 107)}, [(0, 1), (4, 0), (22, 1), (28, 0), (56, 1), (60, 0)]
+    cases = [
+        (({1: 12}, [], [(0, 0), (5, 1), (10, 0)], None), 4, [(5, 10)]),
+        ((six, bubble, six_runs, [101, 103, 106]), 4, [(0, 4), (22, 28), (56, 60)]),
+        (({n: 2 for n in range(1, 11)}, CHAIN, [(0, 1), (1, 0), (2, 1), (4, 0), (6, 1), (8, 0), (10, 1), (12, 0), (14, 1), (20, 0)], None), 3, [(0, 8), (10, 20)]),
+        ((six, bubble, six_runs, None), 20, [(0, 30), (40, 60)]),
+        (({n: 1 for n in range(1, 101)}, [(n, n + 1) for n in range(1, 100)], [(0, 1), (5, 0), (95, 1), (100, 0)], None), 20, [(0, 5), (95, 100)]),
+    ]
+    for longest in (3, 4, 20):
+        own = [(c, want) for c, k, want in cases if k == longest]
+        nodes, edges, track, touched = several(spark, [c for c, _ in own])
+        got = fill_holes(track, nodes, edges, touched, longest).collect()
+        for k, (_, want) in enumerate(own):
+            assert sorted((r.start_pos, r.end_pos) for r in got if r.chrom == f"c{k}") == want
 
 
 def test_internal_fill(spark):
@@ -79,24 +97,21 @@ def test_internal_fill(spark):
     assert areas(internal_fill(runs(spark, [(0, 1), (10, 0), (19, 1), (30, 0), (41, 1), (50, 0)]), nodes, 10)) == [(0, 30), (41, 50)]
 
 
-@pytest.mark.parametrize(
-    ("area", "score", "want"),
-    [
-        ([(0, 0), (5, 1), (35, 0)], [(0, 0), (5, 1), (10, 2), (20, 3), (30, 4), (35, 0)], [(5, 5, [101, 103, 104])]),
-        ([(0, 0), (5, 1), (35, 0)], [(0, 0), (15, 10), (30, 0)], [(5, 5, [101, 103, 104])]),
-        ([(0, 0), (85, 1), (100, 0)], [(0, 0), (85, 10), (100, 0)], [(5, 10, [109, 110])]),
-    ],
-)
-def test_best_path(spark, area, score, want):
-    nodes, edges = graph(spark, {n: 10 for n in range(101, 111)}, BUBBLES)
-    got = max_paths(runs(spark, area), nodes, edges, runs(spark, score)).collect()
-    assert sorted((r.start_off, r.end_off, r.region_paths) for r in got) == want
-
-
-def test_best_paths_of_two_regions(spark):
-    nodes, edges = graph(spark, {n: 2 for n in range(101, 111)}, [(a + 100, b + 100) for a, b in CHAIN])
-    got = max_paths(runs(spark, [(0, 0), (1, 1), (7, 0), (8, 1), (10, 0), (12, 1), (14, 0)]), nodes, edges, runs(spark, [(0, 5), (4, 6), (20, 0)])).collect()
-    assert sorted((r.start_off, r.end_off, r.region_paths) for r in got) == [(0, 2, [105, 107]), (1, 1, [101, 103, 104])]
+def test_best_paths(spark):
+    ten, small = {n: 10 for n in range(101, 111)}, {n: 2 for n in range(101, 111)}
+    chain = [(a + 100, b + 100) for a, b in CHAIN]
+    cases = [
+        (ten, BUBBLES, [(0, 0), (5, 1), (35, 0)], [(0, 0), (5, 1), (10, 2), (20, 3), (30, 4), (35, 0)], [(5, 5, [101, 103, 104])]),
+        (ten, BUBBLES, [(0, 0), (5, 1), (35, 0)], [(0, 0), (15, 10), (30, 0)], [(5, 5, [101, 103, 104])]),
+        (ten, BUBBLES, [(0, 0), (85, 1), (100, 0)], [(0, 0), (85, 10), (100, 0)], [(5, 10, [109, 110])]),
+        (small, chain, [(0, 0), (1, 1), (7, 0), (8, 1), (10, 0), (12, 1), (14, 0)], [(0, 5), (4, 6), (20, 0)], [(0, 2, [105, 107]), (1, 1, [101, 103, 104])]),
+    ]
+    nodes, edges, area, _ = several(spark, [(s, e, a, None) for s, e, a, _, _ in cases])
+    score = several(spark, [(s, e, t, None) for s, e, _, t, _ in cases])[2]
+    got = max_paths(area, nodes, edges, score).collect()
+    for k, case in enumerate(cases):
+        own = [(r.start_off, r.end_off, [n - 1000 * k for n in r.region_paths]) for r in got if r.chrom == f"c{k}"]
+        assert sorted(own) == case[-1]
 
 
 def test_several_starts_and_ends(spark):
