@@ -289,6 +289,11 @@ qm AS (SELECT p, bp, round(min(CASE WHEN place = 1 THEN greatest(q, 0) ELSE q EN
 qr AS (SELECT chrom, start_pos, end_pos, q FROM pr JOIN qm USING (p)), """ + islands_sql("qt", "qr", "chrom", "q")
 
 SQL = {
+    "graph_blocks": "WITH " + EDGES + """, o AS (SELECT src AS node_id, max(dst) AS far FROM edge GROUP BY src),
+c AS (SELECT chrom, node_id, node_size, CASE WHEN coalesce(max(far) OVER (PARTITION BY chrom ORDER BY node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) <= node_id THEN 1 ELSE 0 END AS is_cut
+  FROM nodes LEFT JOIN o USING (node_id)),
+b AS (SELECT *, CAST(sum(is_cut) OVER (PARTITION BY chrom ORDER BY node_id) AS BIGINT) AS block FROM c)
+SELECT chrom, block, count(*) AS n_nodes, CAST(sum(node_size) AS BIGINT) AS bp, min(node_id) AS first_node FROM b GROUP BY chrom, block""",
     "read_extension": _R + _FLOW + " SELECT * FROM fx",
     "read_extension_reverse": _R + _FLOW + " SELECT * FROM bx",
     "sample_pileup": _R + _FLOW + """, ext AS (SELECT chrom, a, b FROM steps
