@@ -45,15 +45,16 @@ def p_track(sample: DataFrame, lam: DataFrame, sample_scale: Column, lam_scale:
     return both.join(pairs, ["k", "lam"]).select("chrom", "start_pos", "end_pos", "k", "lam", "p")
 
 
-def q_values(p: DataFrame, total_bp: Column | int) -> DataFrame:
+def q_values(p: DataFrame, total_bp: Column | int, clip_all: bool = False) -> DataFrame:
     """p to q: p, bp, q. The rank of a p is the number of base pairs with a higher one, over all chromosomes.
 
     The distinct p-values, rounded to six places and capped, are few however long the tracks are:
-    the global order is one over these alone. The first q is at least 0; q never rises as p falls.
+    the global order is one over these alone. The first q is at least 0, with ``clip_all`` every one;
+    q never rises as p falls.
     """
     per = p.groupBy("p").agg(F.sum(F.col("end_pos") - F.col("start_pos")).alias("bp"))
     down = Window.orderBy(F.desc("p"))
     before = F.coalesce(F.sum("bp").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     got = per.withColumn("raw", F.col("p") + F.log10(1 + before) - F.log10(F.lit(total_bp) if isinstance(total_bp, int) else total_bp))
-    got = got.withColumn("raw", F.when(F.row_number().over(down) == 1, F.greatest("raw", F.lit(0.0))).otherwise(F.col("raw")))
+    got = got.withColumn("raw", F.when(F.lit(clip_all) | (F.row_number().over(down) == 1), F.greatest("raw", F.lit(0.0))).otherwise(F.col("raw")))
     return got.select("p", "bp", F.round(F.min("raw").over(down.rowsBetween(Window.unboundedPreceding, 0)), 6).alias("q"))
