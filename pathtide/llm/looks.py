@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathtide.session import cut
@@ -212,7 +212,8 @@ def look_alike_pairs(forms: DataFrame) -> DataFrame:
     form = [F.xxhash64("form").alias("f1"), F.xxhash64(F.lit("second"), "form", F.length("form")).alias("f2")]
     members = cut(forms.select("id", "r1", "r2", *form))
     classes = members.groupBy("f1", "f2", "r1", "r2").agg(F.count(F.lit(1)).alias("n"))
-    several = classes.withColumn("kinds", F.count(F.lit(1)).over(Window.partitionBy("f1", "f2"))).filter("kinds > 1").select("f1", "f2", "r1", "r2")
+    shared = classes.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    several = classes.join(shared, ["f1", "f2"]).select("f1", "f2", "r1", "r2")
     a = several.withColumnsRenamed({"r1": "a1", "r2": "a2"})
     b = several.withColumnsRenamed({"r1": "b1", "r2": "b2"})
     links = a.join(b, ["f1", "f2"]).filter((F.col("a1") < F.col("b1")) | ((F.col("a1") == F.col("b1")) & (F.col("a2") < F.col("b2"))))

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathtide.session import cut
@@ -86,7 +86,9 @@ def _candidates(classes: DataFrame, threshold: float, rows: int, miss: float, se
     narrow = narrow.select("c1", "c2", F.size("items").alias("size"), hashed.alias("items"))
     signed = narrow.mapInArrow(_buckets(bands, rows, seed), "c1 long, c2 long, size int, buckets array<long>")
     each = signed.select("c1", "c2", "size", F.explode("buckets").alias("bucket"))
-    each = cut(each.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).filter("n > 1"))
+    # Counted before they are joined: a bucket that very many classes share is never one task's group.
+    shared = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    each = cut(each.join(shared, "bucket"))
 
     def pairs(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
         a = a.select(*on, F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("size").alias("sa"))
