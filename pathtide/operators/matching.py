@@ -1,4 +1,4 @@
-"""One-to-one matching of two sets of intervals."""
+"""Pairs of intervals: one-to-one matching of two sets, and similar ones of one set."""
 
 from __future__ import annotations
 
@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from pathtide.operators.joins import overlap_join
 from pathtide.session import cut
 
+#: Most intervals of a cell that are compared in one block.
+BLOCK = 512
+
 
 def greedy_matches(ours: DataFrame, theirs: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs (id_a, id_b) of overlapping intervals, each id at most once; sides: keys, id, a, b, score.
@@ -33,3 +36,27 @@ def greedy_matches(ours: DataFrame, theirs: DataFrame, keys: list[str]) -> DataF
     for part in done:
         out = out.unionByName(part)
     return out
+
+
+def similar_intervals(own: DataFrame, most: int, block: int = BLOCK) -> DataFrame:
+    """All pairs (read_id, first_id) on an equal path with starts and ends at most ``most`` apart; ``own``: read_id, s, e, rp.
+
+    Each pair comes once, first_id being the lesser by (s, e, read_id). A path's intervals are put
+    in cells of ``most`` + 1 starts by as many ends; the lesser one looks into its own and the next
+    cell by start and the three around it by end. Cells with very many intervals are split into
+    blocks of about ``block``.
+    """
+    width = most + 1
+    # A path is known by its least id; most have one interval only.
+    paths = own.groupBy("rp").agg(F.min("read_id").alias("path"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    cell = [F.floor(F.col(c) / width).alias(f"c{c}") for c in ("s", "e")]
+    own = cut(own.join(paths, "rp").select("path", "read_id", "s", "e", *cell))
+    keys = ["path", "cs", "ce"]
+    hot = cut(own.groupBy(*keys).count().filter(F.col("count") > block).select(*keys, F.ceil(F.col("count") / block).alias("blocks")))
+    into = lambda df: df.join(hot, keys, "left").na.fill(1, ["blocks"])
+    later = into(own).withColumn("block", F.pmod(F.xxhash64("read_id"), F.col("blocks"))).drop("blocks")
+    first = own.select("path", F.col("read_id").alias("first_id"), F.col("s").alias("fs"), F.col("e").alias("fe"), F.explode(F.array(F.col("cs"), F.col("cs") + 1)).alias("cs"), "ce")
+    first = first.withColumn("ce", F.explode(F.array(F.col("ce") - 1, F.col("ce"), F.col("ce") + 1)))
+    first = into(first).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+    near = (F.abs(F.col("s") - F.col("fs")) <= most) & (F.abs(F.col("e") - F.col("fe")) <= most)
+    return first.join(later, [*keys, "block"]).filter(near & (F.struct("fs", "fe", "first_id") < F.struct("s", "e", "read_id"))).select("read_id", "first_id")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathtide.operators.joins import overlap_join
-from pathtide.operators.matching import greedy_matches
+from pathtide.operators.matching import greedy_matches, similar_intervals
 from pathtide.operators.periods import merge_periods
 from pathtide.operators.scan import ranked
 from pathtide.operators.tracks import coverage
@@ -96,10 +96,8 @@ def identical_peaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def similar_peaks(spark: SparkSession, d: str) -> DataFrame:
-    """Intervals on the same path whose ends lie within a few base pairs of the path's first called interval."""
-    firsts = reads(spark, d).groupBy("rp").agg(F.min(F.struct("s", "e", "read_id")).alias("f"))
-    got = reads(spark, d).join(firsts, "rp").filter(F.col("read_id") != F.col("f.read_id"))
-    return got.filter((F.abs(F.col("s") - F.col("f.s")) <= MISMATCH) & (F.abs(F.col("e") - F.col("f.e")) <= MISMATCH)).select("read_id", F.col("f.read_id").alias("first_id"))
+    """All pairs of intervals on the same path whose starts and ends lie within a few base pairs; first_id is the lesser one by (s, e, read_id)."""
+    return similar_intervals(reads(spark, d).select("read_id", "s", "e", "rp"), MISMATCH)
 
 
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
