@@ -13,8 +13,9 @@ from pathtide.operators.tracks import coverage
 from pathtide.plans.base import EDGES, LINEAR, READS, STEPS, edges, linear, nodes, reads, runs_sql, steps
 from pathtide.session import cut, table
 
-#: Mismatching base pairs of similar peaks, base pairs of an overlap, half width of a summit window, consensus of the motif, best peaks of a report.
-MISMATCH, OVERLAP, WINDOW, MOTIF, BEST = 15, 50, 30, "GTAC", 100
+#: Mismatching base pairs of similar peaks, base pairs of an overlap, half width of a summit window, consensus of the motif, best peaks of a report,
+#: base pairs between starts of one call, width of a place.
+MISMATCH, OVERLAP, WINDOW, MOTIF, BEST, NEAR, PLACE = 15, 50, 30, "GTAC", 100, 5, 100
 
 
 def _good(spark: SparkSession, d: str) -> DataFrame:
@@ -239,12 +240,27 @@ def first_of_place(spark: SparkSession, d: str) -> DataFrame:
 
 
 def alignment_compare(spark: SparkSession, d: str) -> DataFrame:
-    """Linear and graph calls by name of place: in both within 5 base pairs, apart, or in one only, per chromosome."""
-    g = _projected(spark, d).groupBy("chrom", F.floor(F.col("a") / 100).alias("bin")).agg(F.min("a").alias("ga"))
-    li = linear(spark, d).groupBy("chrom", F.floor(F.col("a") / 100).alias("bin")).agg(F.min("a").alias("la"))
-    both = g.join(li, ["chrom", "bin"], "full")
-    kind = F.when(F.col("ga").isNull(), "linear_only").when(F.col("la").isNull(), "graph_only").when(F.abs(F.col("ga") - F.col("la")) <= 5, "same").otherwise("apart")
-    return both.groupBy("chrom", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    """Starts of linear and graph calls, per chromosome: in both within 5 base pairs, apart within a place's width, or in one only.
+
+    Every start is held against all of the other side. n counts the graph's starts (of linear_only
+    the linear ones); graph_calls and linear_calls count the calls at all starts of the kind.
+    """
+    g = _projected(spark, d).groupBy("chrom", F.col("a").alias("ga")).agg(F.count(F.lit(1)).alias("calls"))
+    li = linear(spark, d).groupBy("chrom", F.col("a").alias("la")).agg(F.count(F.lit(1)).alias("calls"))
+    g, li = cut(g), cut(li)
+    # Starts are distinct, so that a start meets no more than two places' width of others.
+    lo, hi = (F.col("ga") - PLACE + 1).alias("lo"), (F.col("ga") + PLACE).alias("hi")
+    both = overlap_join(g.select("chrom", "ga", lo, hi), li.select("chrom", "la", (F.col("la") + 1).alias("le")), ["chrom"], ("lo", "hi"), ("la", "le"), width=4 * PLACE)
+    both = cut(both.select("chrom", "ga", "la", F.abs(F.col("ga") - F.col("la")).alias("off")))
+
+    def side(own: DataFrame, at: str, only: str) -> DataFrame:
+        got = own.join(both.groupBy("chrom", at).agg(F.min("off").alias("off")), ["chrom", at], "left")
+        kind = F.when(F.col("off").isNull(), only).when(F.col("off") <= NEAR, "same").otherwise("apart")
+        return got.select("chrom", kind.alias("kind"), F.lit(at).alias("side"), "calls")
+
+    own, graph = side(g, "ga", "graph_only").unionByName(side(li, "la", "linear_only")), F.col("side") == "ga"
+    calls = lambda which: F.sum(F.when(which, F.col("calls")).otherwise(0))
+    return own.groupBy("chrom", "kind").agg(F.count_if(graph | (F.col("kind") == "linear_only")).alias("n"), calls(graph).alias("graph_calls"), calls(~graph).alias("linear_calls"))
 
 
 def alignment_sets(spark: SparkSession, d: str) -> DataFrame:

@@ -1,11 +1,15 @@
 import random
 
 from pathtide.operators.matching import similar_intervals
-from pathtide.plans.peak_queries import MISMATCH, similar_peaks
+from pathtide.plans.peak_queries import MISMATCH, alignment_compare, similar_peaks
 
 PEAKS = "peak_id long, sample_id long, start_off int, end_off int, region_paths array<long>, average_q_value double, unique_id string"
 
 
+NODES = "chrom string, node_id long, node_size int, node_index long, path_offset long"
+LINEAR = "lp_id long, run_id long, chromosome string, start_pos long, end_pos long, score double"
+
+
 def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
@@ -35,3 +39,13 @@ def test_similar_intervals_in_blocks(spark):
     got = rows(similar_intervals(spark.createDataFrame(own, "read_id long, s int, e int, rp array<long>"), 7, block=2))
     key = lambda x: (x[1], x[2], x[0])
     assert got == sorted((y[0], x[0]) for x in own for y in own if x[3] == y[3] and key(x) < key(y) and abs(x[1] - y[1]) <= 7 and abs(x[2] - y[2]) <= 7)
+
+
+def test_alignment_compare_counts_every_start(spark, tmp_path):
+    # one node of the path, so a start's offset is its position: 198 and 201 are near across a border of hundreds,
+    # 510 and 512 are not the least of their hundred, 340 has a start within a hundred only, 700 and 950 have none
+    g = [(k, 1, a, a + 20, [1], 1.0) for k, a in enumerate([198, 500, 510, 510, 340, 700])]
+    li = [(k, 1, "chr1", a, a + 20, 1.0) for k, a in enumerate([201, 480, 512, 420, 950])]
+    d = tables(spark, tmp_path, graph_peaks=peaks(g), nodes=([("chr1", 1, 2000, 0, 0)], NODES), linear_peaks=(li, LINEAR))
+    got = rows(alignment_compare(spark, d).select("kind", "n", "graph_calls", "linear_calls"))
+    assert got == [("apart", 2, 2, 2), ("graph_only", 1, 1, 0), ("linear_only", 1, 0, 1), ("same", 2, 3, 2)]
