@@ -190,11 +190,14 @@ def max_paths(runs: DataFrame, nodes: DataFrame, edges: DataFrame, track: DataFr
 
 
 def peak_scores(peaks: DataFrame, nodes: DataFrame, track: DataFrame) -> DataFrame:
-    """``peaks`` (id, chrom, start_off, end_off, region_paths forward) with score, the highest track value on the path, and bp, its length."""
+    """``peaks`` (id, chrom, start_off, end_off, region_paths signed) with score, the highest track value on the path, and bp, its length."""
     n = F.size("region_paths")
-    each = peaks.select("id", "start_off", "end_off", n.alias("n"), F.posexplode("region_paths").alias("i", "node_id")).join(nodes.select("node_id", "chrom", "size", "node_index"), "node_id")
-    a = F.col("node_index") + F.when(F.col("i") == 0, F.col("start_off")).otherwise(0)
-    b = F.col("node_index") + F.when(F.col("i") == F.col("n") - 1, F.col("end_off")).otherwise(F.col("size"))
+    each = peaks.select("id", "start_off", "end_off", n.alias("n"), F.posexplode("region_paths").alias("i", "node")).withColumn("node_id", F.abs("node")).join(nodes.select("node_id", "chrom", "size", "node_index"), "node_id")
+    start = F.when(F.col("i") == 0, F.col("start_off")).otherwise(0)
+    end = F.when(F.col("i") == F.col("n") - 1, F.col("end_off")).otherwise(F.col("size"))
+    # A reverse step counts from the node's far end.
+    a = F.col("node_index") + F.when(F.col("node") > 0, start).otherwise(F.col("size") - end)
+    b = F.col("node_index") + F.when(F.col("node") > 0, end).otherwise(F.col("size") - start)
     each = cut(each.select("id", "chrom", a.alias("a"), b.alias("b")))
     size = each.groupBy("id").agg(F.sum(F.col("b") - F.col("a")).alias("bp"))
     over = overlap_join(each, track.select("chrom", "start_pos", "end_pos", "value"), ["chrom"], ("a", "b"), ("start_pos", "end_pos"))

@@ -202,12 +202,13 @@ def motif_enrichment(spark: SparkSession, d: str) -> DataFrame:
 
 
 def motif_locations(spark: SparkSession, d: str) -> DataFrame:
-    """The node and offset where each forward peak's first motif hit begins."""
-    s = steps(spark, d).filter("node > 0").select("read_id", "i", "node_id", "lo", (F.col("hi") - F.col("lo")).alias("bp"))
+    """The node and offset where each peak's first motif hit begins; on strand - the offset counts from the node's far end."""
+    begin = F.when(F.col("node") > 0, F.col("lo")).otherwise(F.col("size") - F.col("hi"))
+    s = steps(spark, d).select("read_id", "i", "node_id", begin.alias("begin"), (F.col("hi") - F.col("lo")).alias("bp"), F.when(F.col("node") > 0, "+").otherwise("-").alias("strand"))
     w = Window.partitionBy("read_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     s = s.withColumn("upto", F.sum("bp").over(w)).join(_hits(spark, d), "read_id")
     at = F.col("start") - 1 - (F.col("upto") - F.col("bp"))
-    return s.filter((at >= 0) & (F.col("start") - 1 < F.col("upto"))).select("read_id", "node_id", (F.col("lo") + at).cast("long").alias("offset"))
+    return s.filter((at >= 0) & (F.col("start") - 1 < F.col("upto"))).select("read_id", "node_id", (F.col("begin") + at).cast("long").alias("offset"), "strand")
 
 
 def best_motif(spark: SparkSession, d: str) -> DataFrame:

@@ -225,8 +225,8 @@ def region_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def peak_maxima(spark: SparkSession, d: str) -> DataFrame:
-    """The highest coverage on every forward peak's own path, and its length."""
-    own = reads(spark, d).filter(F.element_at("rp", 1) > 0).select(F.col("read_id").alias("id"), F.col("s").alias("start_off"), F.col("e").alias("end_off"), F.col("rp").alias("region_paths"))
+    """The highest coverage on every peak's own path, and its length."""
+    own = reads(spark, d).select(F.col("read_id").alias("id"), F.col("s").alias("start_off"), F.col("e").alias("end_off"), F.col("rp").alias("region_paths"))
     got = peak_scores(own, nodes(spark, d), coverage(steps(spark, d), ["chrom"], "a", "b"))
     return got.select(F.col("id").alias("read_id"), "bp", "score")
 

@@ -1,7 +1,8 @@
 import random
 
 from pathtide.operators.matching import similar_intervals
-from pathtide.plans.peak_queries import MISMATCH, alignment_compare, similar_peaks
+from pathtide.plans.peak_queries import MISMATCH, MOTIF, alignment_compare, motif_hits, motif_locations, similar_peaks
+from pathtide.plans.signal_queries import peak_maxima
 
 PEAKS = "peak_id long, sample_id long, start_off int, end_off int, region_paths array<long>, average_q_value double, unique_id string"
 
@@ -49,3 +50,36 @@ def test_alignment_compare_counts_every_start(spark, tmp_path):
     d = tables(spark, tmp_path, graph_peaks=peaks(g), nodes=([("chr1", 1, 2000, 0, 0)], NODES), linear_peaks=(li, LINEAR))
     got = rows(alignment_compare(spark, d).select("kind", "n", "graph_calls", "linear_calls"))
     assert got == [("apart", 2, 2, 2), ("graph_only", 1, 1, 0), ("linear_only", 1, 0, 1), ("same", 2, 3, 2)]
+
+
+def test_reverse_peaks_have_a_highest_coverage(spark, tmp_path):
+    # 2 is 1 walked backwards; 3 covers the first node's last ten again
+    own = [(1, 1, 20, 15, [1, 2], 1.0), (2, 1, 25, 40, [-2, -1], 1.0), (3, 2, 0, 10, [-1], 1.0)]
+    d = tables(spark, tmp_path, graph_peaks=peaks(own), nodes=([("chr1", 1, 60, 0, 0), ("chr1", 2, 40, 60, 60)], NODES))
+    assert rows(peak_maxima(spark, d)) == [(1, 55, 3), (2, 55, 3), (3, 10, 3)]
+
+
+def test_reverse_peaks_have_motif_locations(spark, tmp_path):
+    r = random.Random(3)
+    size = {k: 2 * r.randrange(15, 30) for k in range(1, 9)}
+    own = []
+    for i in range(60):
+        path = sorted(r.sample(range(1, 9), 3))
+        s, e = r.randrange(0, 15), r.randrange(16, 30)
+        own.append((i, 1, s, e, path if i % 2 else [-x for x in reversed(path)], 1.0))
+    d = tables(spark, tmp_path, graph_peaks=peaks(own), nodes=([("chr1", k, n, k * 100, None) for k, n in size.items()], NODES))
+
+    def letters(node):
+        text = "".join("ACGT"[(abs(node) * 7 + x * x) % 4] for x in range(size[abs(node)]))
+        return text if node > 0 else text[::-1].translate(str.maketrans("ACGT", "TGCA"))
+
+    want = []
+    for i, _, s, e, path, _ in own:
+        places = [(node, x) for k, node in enumerate(path) for x in range(s if k == 0 else 0, e if k == 2 else size[abs(node)])]
+        at = "".join(letters(node)[x] for node, x in places).find(MOTIF)
+        if at >= 0:
+            node, x = places[at]
+            want.append((i, abs(node), x, "+" if node > 0 else "-"))
+    assert {x[3] for x in want} == {"+", "-"}
+    assert rows(motif_locations(spark, d)) == sorted(want)
+    assert motif_hits(spark, d).count() == len(want)
