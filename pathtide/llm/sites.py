@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathtide.llm.linkage import Comparison, block, fit
+from pathtide.plans.base import signature
 from pathtide.session import cut
 
 #: Width of a position block, and how far starts or ends may lie apart: a share of the length, at least so many positions.
@@ -22,11 +23,6 @@ def chromosome_key(name: Column) -> Column:
     return F.regexp_replace(bare, "^([a-z]*)0+(?=[0-9])", "$1")
 
 
-def signature(word: Column) -> Column:
-    """The letters and digits of a word in order: equal for swapped letters, case and dashes."""
-    return F.array_join(F.array_sort(F.split(F.regexp_replace(F.lower(word), "[^a-z0-9]", ""), "")), "")
-
-
 def graph_calls(peaks: DataFrame, nodes: DataFrame) -> DataFrame:
     """Each graph peak once, on the linear axis: peak_id, sample_id, chrom, gs, ge, q.
 

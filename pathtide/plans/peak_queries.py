@@ -10,7 +10,7 @@ from pathtide.operators.matching import greedy_matches, similar_intervals
 from pathtide.operators.periods import merge_periods
 from pathtide.operators.scan import ranked
 from pathtide.operators.tracks import coverage
-from pathtide.plans.base import EDGES, LINEAR, READS, STEPS, edges, linear, nodes, reads, runs_sql, steps
+from pathtide.plans.base import EDGES, LINEAR, READS, STEPS, edges, linear, nodes, reads, runs_sql, signature, steps
 from pathtide.session import cut, table
 
 #: Mismatching base pairs of similar peaks, base pairs of an overlap, half width of a summit window, consensus of the motif, best peaks of a report,
@@ -101,28 +101,43 @@ def similar_peaks(spark: SparkSession, d: str) -> DataFrame:
     return similar_intervals(reads(spark, d).select("read_id", "s", "e", "rp"), MISMATCH)
 
 
-def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Graph peaks on the linear axis and linear peaks of the same factor, with scores: the two callers' sets."""
-    factors = table(spark, d, "samples").select("sample_id", F.upper("factor").alias("factor"))
+def _run_factors(spark: SparkSession, d: str) -> DataFrame:
+    """run_id and the factor its label names: a sample's one, also with swapped letters if only one has them; else the label's word."""
+    known = table(spark, d, "samples").select(F.upper("factor").alias("factor")).filter("factor is not null").distinct()
+    alike = known.groupBy(signature(F.col("factor")).alias("letters")).agg(F.min("factor").alias("alike"), F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
     named = F.regexp_extract(F.regexp_replace(F.upper("run_label"), "-", ""), "[A-Z]{2,}[0-9]+", 0)
-    runs = table(spark, d, "linear_runs").select("run_id", named.alias("factor"))
-    ours = _projected(spark, d).join(_good(spark, d).select("read_id", "q"), "read_id").join(factors, "sample_id")
-    theirs = linear(spark, d).filter("score is not null").join(runs, "run_id")
-    return ours.select(F.col("read_id").alias("id"), "factor", "chrom", "a", "b", F.col("q").alias("score")), theirs.select(F.col("lp_id").alias("id"), "factor", "chrom", "a", "b", "score")
+    runs = table(spark, d, "linear_runs").select("run_id", named.alias("named")).dropDuplicates(["run_id"]).withColumn("letters", signature(F.col("named")))
+    got = runs.join(known.select(F.col("factor").alias("named"), F.col("factor").alias("same")), "named", "left").join(alike, "letters", "left")
+    return got.select("run_id", F.coalesce("same", "alike", "named").alias("factor"))
+
+
+def _sets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All peaks of the two callers with their factor: id, factor, score (the least there is where unknown); linear ones with chrom, a, b."""
+    factors = table(spark, d, "samples").select("sample_id", F.upper("factor").alias("factor")).dropDuplicates(["sample_id"])
+    last = F.lit(float("-inf"))
+    ours = reads(spark, d).join(factors, "sample_id", "left").select(F.col("read_id").alias("id"), "factor", F.coalesce(F.when(~F.isnan("q"), F.col("q")), last).alias("score"))
+    theirs = linear(spark, d).join(_run_factors(spark, d), "run_id", "left")
+    return ours, theirs.select(F.col("lp_id").alias("id"), "factor", "chrom", "a", "b", F.coalesce("score", last).alias("score"))
+
+
+def _matches(spark: SparkSession, d: str, ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """One-to-one matching of the sets, by the graph peaks' stretches of the linear axis."""
+    placed = ours.join(_projected(spark, d).select(F.col("read_id").alias("id"), "chrom", "a", "b"), "id")
+    return greedy_matches(placed, theirs, ["factor", "chrom"])
 
 
 def peak_set_matching(spark: SparkSession, d: str) -> DataFrame:
-    """One-to-one matching of the two callers' peaks of a factor, best scores first."""
-    return greedy_matches(*_sides(spark, d), ["factor", "chrom"])
+    """One-to-one matching of the two callers' peaks of a factor, best scores first and unknown ones last."""
+    return _matches(spark, d, *_sets(spark, d))
 
 
 def peak_compare_report(spark: SparkSession, d: str) -> DataFrame:
-    """Totals, shared and unique peaks of both callers per factor."""
-    ours, theirs = _sides(spark, d)
-    m = cut(greedy_matches(ours, theirs, ["factor", "chrom"]))
-    a = ours.join(m.select(F.col("id_a").alias("id"), F.lit(1).alias("hit")), "id", "left").groupBy("factor").agg(F.count(F.lit(1)).alias("total_graph"), F.count("hit").alias("shared"))
-    b = theirs.groupBy("factor").agg(F.count(F.lit(1)).alias("total_linear"))
-    got = a.join(b, "factor", "full").na.fill(0, ["total_graph", "total_linear", "shared"])
+    """Totals, shared and unique peaks of both callers per factor, of all peaks."""
+    ours, theirs = _sets(spark, d)
+    m = _matches(spark, d, ours, theirs).select(F.col("id_a").alias("id"), F.lit(1).alias("hit"))
+    own = ours.join(m, "id", "left").select("factor", F.lit(1).alias("g"), F.lit(0).alias("l"), F.coalesce("hit", F.lit(0)).alias("hit"))
+    both = own.unionByName(theirs.select("factor", F.lit(0).alias("g"), F.lit(1).alias("l"), F.lit(0).alias("hit")))
+    got = both.groupBy("factor").agg(F.sum("g").alias("total_graph"), F.sum("l").alias("total_linear"), F.sum("hit").alias("shared"))
     return got.select("factor", "total_graph", "total_linear", "shared", (F.col("total_graph") - F.col("shared")).alias("unique_graph"), (F.col("total_linear") - F.col("shared")).alias("unique_linear"))
 
 

@@ -1,7 +1,7 @@
 import random
 
 from pathtide.operators.matching import similar_intervals
-from pathtide.plans.peak_queries import MISMATCH, MOTIF, alignment_compare, motif_hits, motif_locations, similar_peaks
+from pathtide.plans.peak_queries import MISMATCH, MOTIF, alignment_compare, motif_hits, motif_locations, peak_compare_report, peak_set_matching, similar_peaks
 from pathtide.plans.signal_queries import peak_maxima
 
 PEAKS = "peak_id long, sample_id long, start_off int, end_off int, region_paths array<long>, average_q_value double, unique_id string"
@@ -83,3 +83,16 @@ def test_reverse_peaks_have_motif_locations(spark, tmp_path):
     assert {x[3] for x in want} == {"+", "-"}
     assert rows(motif_locations(spark, d)) == sorted(want)
     assert motif_hits(spark, d).count() == len(want)
+
+
+def test_peak_sets_are_whole(spark, tmp_path):
+    # run 2 swaps letters of FGI5; AB1 and BA1 have the same letters, so that only exact labels name them;
+    # graph peak 3 has no q, 4 is off the path; linear peaks 12 and 13 have no score
+    own = [(1, 1, 0, 50, [1], 2.0), (2, 1, 100, 150, [1], 3.0), (3, 1, 200, 250, [1], None), (4, 1, 0, 10, [2], 1.0), (5, 2, 300, 350, [1], float("nan")), (6, 3, 300, 350, [1], 1.0)]
+    li = [(10, 1, "chr1", 10, 60, 1.0), (11, 2, "1", 110, 160, 1.0), (12, 2, "1", 210, 260, None), (13, 2, "1", 120, 170, -1.0), (14, 3, "chr1", 310, 360, 1.0)]
+    d = tables(
+        spark, tmp_path, graph_peaks=peaks(own), nodes=([("chr1", 1, 2000, 0, 0), ("chr1", 2, 50, 2000, None)], NODES), linear_peaks=(li, LINEAR),
+        samples=([(1, "FGI5"), (2, "AB1"), (3, "BA1")], "sample_id long, factor string"), linear_runs=([(1, "leaf FGI-5"), (2, "GFI5 rep1"), (3, "ba1 #1")], "run_id long, run_label string"),
+    )
+    assert rows(peak_set_matching(spark, d)) == [(1, 10), (2, 11), (3, 12), (6, 14)]
+    assert rows(peak_compare_report(spark, d)) == [("AB1", 1, 0, 0, 1, 0), ("BA1", 1, 1, 1, 0, 0), ("FGI5", 4, 4, 3, 1, 1)]
