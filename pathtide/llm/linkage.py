@@ -79,11 +79,13 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, names: list[str], sizes:
     return Model(names, m, u, share)
 
 
-def block(left: DataFrame, right: DataFrame, passes: list[tuple[list[Column], list[Column]]]) -> DataFrame:
-    """Distinct pairs of rows that share a key of any pass.
+def block(left: DataFrame, right: DataFrame, passes: list[tuple[list[Column], list[Column]]], spread: int = 1) -> DataFrame:
+    """Pairs of rows that share a key of any pass; a pair that shares several comes as often.
 
     A pass has the key columns of either side; a key column that is an array stands for each of its
-    values. Rows with a null key take no part in a pass. The two tables' column names must differ.
+    values. Rows with a null key take no part in a pass. A key's pairs are made in ``spread`` parts
+    of the left rows, so that a hot key is work for many tasks. The two tables' column names must
+    differ.
     """
     found = []
     for lk, rk in passes:
@@ -94,8 +96,9 @@ def block(left: DataFrame, right: DataFrame, passes: list[tuple[list[Column], li
                 df = df.withColumn(f"_k{i}", key)
                 if df.schema[f"_k{i}"].dataType.typeName() == "array":
                     df = df.withColumn(f"_k{i}", F.explode(F.array_distinct(f"_k{i}")))
-            sides.append(df.select(*own, *[f"_k{i}" for i in range(len(keys))]))
-        found.append(sides[0].join(sides[1], [f"_k{i}" for i in range(len(lk))]).select(*left.columns, *right.columns))
+            part = F.pmod(F.xxhash64(*own), F.lit(spread)) if not sides else F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long")))
+            sides.append(df.select(*own, *[f"_k{i}" for i in range(len(keys))], part.alias("_part")))
+        found.append(sides[0].join(sides[1], [*[f"_k{i}" for i in range(len(lk))], "_part"]).select(*left.columns, *right.columns))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)

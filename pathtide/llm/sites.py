@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from pathtide.llm.linkage import Comparison, block, fit
 from pathtide.plans.base import signature
-from pathtide.session import cut
+from pathtide.session import cut, sized_broadcast
 
-#: Width of a position block, and how far starts or ends may lie apart: a share of the length, at least so many positions.
-BLOCK_WIDTH, REACH, LEAST_REACH = 1024, 0.5, 60
-#: Label comparisons in which a run and a sample may disagree outright.
-MOST_CONFLICTS = 1
+#: Width of a position block. Starts or ends are near within a share of the graph call's length and the slack: the levels of
+#: agreement, of which the loosest is the reach of the position passes.
+BLOCK_WIDTH, NEARNESS, SLACK = 2048, (0.05, 0.18, 0.4), 10
+#: Parts a hot key of the label passes is spread over.
+SPREAD = 8
 #: Least posterior of a match.
 CONFIDENCE = 0.5
 
@@ -73,20 +74,27 @@ def run_labels(runs: DataFrame) -> DataFrame:
 def run_sample_candidates(runs: DataFrame, samples: DataFrame) -> DataFrame:
     """Pairs of a run and a sample that may belong together, with the agreement levels of their labels.
 
-    Two passes: a word of the label has the factor's letters; or the label begins with the tissue's
-    letters and the run was called soon after sequencing. Of these, pairs that conflict in more
-    than ``MOST_CONFLICTS`` of factor, tissue, replicate, reads and date are no candidates.
+    A word of the label has the factor's letters, and besides the replicate, the tissue's first
+    letter or the month (called in that of the sequencing or the next) is the same; a run that tells
+    none of these is paired by the factor alone. A label that garbles the factor is paired by
+    tissue, replicate and month together. Whatever a pass finds is judged by the comparisons alone.
     """
     own = run_labels(runs)
     factor = F.regexp_replace(F.lower("factor"), "[^a-z0-9]", "")
     tissue = F.regexp_replace(F.lower("tissue"), "[^a-z0-9]", "")
     kept = samples.filter(F.col("sample_id").isNotNull()).select("sample_id", factor.alias("s_factor"), tissue.alias("s_tissue"), F.col("replicate").alias("s_replicate"), F.col("n_reads").cast("double").alias("s_reads"), F.col("sequenced_at").alias("s_at"))
     month = lambda c: F.floor(F.unix_timestamp(c) / (30 * 86400))
+    months = F.array(month("run_at"), month("run_at") - 1)
+    silent = F.col("run_replicate").isNull() & F.col("run_tissue").isNull() & F.col("run_at").isNull()
+    words, letters = F.col("signatures"), signature(F.col("s_factor"))
     passes = [
-        ([F.col("signatures")], [signature(F.col("s_factor"))]),
-        ([F.substring("run_tissue", 1, 3), F.col("run_replicate"), F.array(month("run_at"), month("run_at") - 1)], [F.substring("s_tissue", 1, 3), F.col("s_replicate"), month("s_at")]),
+        ([words, F.col("run_replicate")], [letters, F.col("s_replicate")]),
+        ([words, F.substring("run_tissue", 1, 1)], [letters, F.substring("s_tissue", 1, 1)]),
+        ([words, months], [letters, month("s_at")]),
+        ([F.when(silent, words)], [letters]),
+        ([F.substring("run_tissue", 1, 3), F.col("run_replicate"), months], [F.substring("s_tissue", 1, 3), F.col("s_replicate"), month("s_at")]),
     ]
-    got = block(own, kept, passes).dropDuplicates(["run_id", "sample_id"])
+    got = block(own, kept, passes, spread=SPREAD).dropDuplicates(["run_id", "sample_id"])
     short = F.concat(F.lit("^"), F.array_join(F.split("run_tissue", ""), ".*"))
     ratio, days = F.col("run_reads") / F.col("s_reads"), (F.unix_timestamp("run_at") - F.unix_timestamp("s_at")) / 86400
     levels = [
@@ -96,18 +104,30 @@ def run_sample_candidates(runs: DataFrame, samples: DataFrame) -> DataFrame:
         Comparison("reads", [F.abs(ratio - 1) <= 0.1, F.abs(ratio - 1) <= 0.3], ratio.isNull()),
         Comparison("days", [days.between(0, 35), days.between(-2, 90)], days.isNull()),
     ]
-    got = got.select("run_id", "sample_id", *[c.level() for c in levels])
-    # The last level of a comparison is a conflict; a pair may have one, not more.
-    conflicts = sum((F.col(f"c_{c.name}") == len(c.levels)).cast("int") for c in levels)
-    return got.filter(conflicts <= MOST_CONFLICTS)
+    return got.select("run_id", "sample_id", *[c.level() for c in levels])
 
 
 LABEL_COMPARISONS = {"factor": 2, "tissue": 2, "replicate": 1, "reads": 2, "days": 2}
 
 
-def _keys(at: str, start: str, end: str) -> Column:
-    reach = F.greatest((F.col(end) - F.col(start)) * REACH, F.lit(LEAST_REACH)).cast("long")
-    return F.sequence(F.floor((F.col(at) - reach) / BLOCK_WIDTH), F.floor((F.col(at) + reach) / BLOCK_WIDTH))
+def _site_pairs(calls: DataFrame, owners: DataFrame, linear: DataFrame, n_owners: int) -> DataFrame:
+    """Pairs of a graph call and a linear call of a candidate run whose starts or ends lie within reach of each other.
+
+    Two position passes in one join: a linear call is listed in the block of its start and in that
+    of its end, and a pair counts in the block of the start if the starts are near, else in that of
+    the end, so that no pair comes twice. The smaller side is widened by its candidate runs; the
+    linear calls, the largest table, are moved once, and what was delivered again is left out where
+    it arrives.
+    """
+    block_of = lambda c: F.floor(F.col(c) / BLOCK_WIDTH)
+    near = (F.greatest(F.col("ge") - F.col("gs"), F.lit(1)) * NEARNESS[-1] + SLACK).cast("long")
+    left = calls.join(sized_broadcast(owners, n_owners), "sample_id").withColumn("near", near)
+    left = left.withColumn("spot", F.explode(F.sequence(F.floor((F.col("gs") - F.col("near")) / BLOCK_WIDTH), F.floor((F.col("ge") + F.col("near")) / BLOCK_WIDTH))))
+    right = linear_calls(linear).withColumnRenamed("lchrom", "chrom").withColumn("spot", F.explode(F.array_distinct(F.array(block_of("ls"), block_of("le")))))
+    keys = ["run_id", "chrom", "spot"]
+    right = right.repartition(*keys).dropDuplicates([*keys, "lp_id"])
+    at_start, at_end = F.abs(F.col("ls") - F.col("gs")) <= F.col("near"), F.abs(F.col("le") - F.col("ge")) <= F.col("near")
+    return left.join(right, keys).filter((at_start & (F.col("spot") == block_of("ls"))) | (~at_start & at_end & (F.col("spot") == block_of("le"))))
 
 
 def link_sites(peaks: DataFrame, nodes: DataFrame, samples: DataFrame, linear: DataFrame, runs: DataFrame, least: float = CONFIDENCE) -> DataFrame:
@@ -121,38 +141,32 @@ def link_sites(peaks: DataFrame, nodes: DataFrame, samples: DataFrame, linear: D
     """
     labels = cut(run_sample_candidates(runs, samples))
     calls = cut(graph_calls(peaks, nodes))
-    label_levels = [f"c_{n}" for n in LABEL_COMPARISONS]
-    # The smaller side is widened by its candidate runs; the linear peaks, the largest table, are moved once a pass.
-    left = calls.join(labels.withColumnRenamed("run_id", "g_run"), "sample_id")
-    right = linear_calls(linear)
-    passes = [([F.col("g_run"), F.col("chrom"), _keys(g, "gs", "ge")], [F.col("run_id"), F.col("lchrom"), F.floor(F.col(at) / BLOCK_WIDTH)]) for g, at in (("gs", "ls"), ("ge", "le"))]
+    n_labels = labels.count()
     size = F.greatest(F.col("ge") - F.col("gs"), F.lit(1))
     ds, de = F.abs(F.col("ls") - F.col("gs")), F.abs(F.col("le") - F.col("ge"))
-    slack = F.lit(10)
     known = (F.col("score") >= 0) & ~F.isnan("score") & (F.col("q") > 0) & ~F.isnan("q")
     apart = F.abs(F.ln(F.greatest("score", F.lit(1e-3)) / F.greatest("q", F.lit(1e-3))))
-    near = lambda d, share: d <= size * share + slack
+    near = lambda d: [d <= size * share + SLACK for share in NEARNESS]
     geometry = [
-        Comparison("start", [near(ds, 0.05), near(ds, 0.18), near(ds, 0.4)]),
-        Comparison("end", [near(de, 0.05), near(de, 0.18), near(de, 0.4)]),
+        Comparison("start", near(ds)),
+        Comparison("end", near(de)),
         Comparison("score", [apart <= 0.15, apart <= 0.35, apart <= 0.8], ~F.coalesce(known, F.lit(False))),
     ]
-    pairs = block(left, right, passes)
-    pairs = pairs.select("peak_id", "lp_id", "run_id", "sample_id", *[c.level() for c in geometry], *label_levels, (ds + de).alias("off")).filter(F.least("c_start", "c_end") < 3)
-    pairs = cut(pairs.groupBy("peak_id", "lp_id").agg(*[F.first(c).alias(c) for c in pairs.columns if c not in ("peak_id", "lp_id")]))
+    pairs = _site_pairs(calls, labels.select("run_id", "sample_id"), linear, n_labels)
+    pairs = cut(pairs.select("peak_id", "lp_id", "run_id", "sample_id", *[c.level() for c in geometry], (ds + de).cast("int").alias("off")))
     # What all pairs of a run and a sample say together: the share of the sample's peaks met closely.
     met = pairs.groupBy("run_id", "sample_id").agg(F.count_if((F.col("c_start") <= 1) & (F.col("c_end") <= 1)).alias("met"))
     held = calls.groupBy("sample_id").agg(F.count(F.lit(1)).alias("held"))
     share = F.col("met") / F.col("held")
     support = Comparison("support", [share >= 0.3, share >= 0.15, share >= 0.05])
-    backed = met.join(held, "sample_id").select("run_id", "sample_id", support.level())
-    compared = cut(pairs.join(backed, ["run_id", "sample_id"]))
+    backed = cut(met.join(held, "sample_id").join(labels, ["run_id", "sample_id"]).select("run_id", "sample_id", support.level(), *[f"c_{n}" for n in LABEL_COMPARISONS]))
+    compared = pairs.join(sized_broadcast(backed, n_labels), ["run_id", "sample_id"])
     everything = geometry + [Comparison(n, [F.lit(True)] * k) for n, k in LABEL_COMPARISONS.items()] + [support]
     scored = compared.withColumn("confidence", fit(compared, everything).posterior())
     own = scored.groupBy("run_id", "sample_id").agg(F.sum("confidence").alias("weight"))
-    best = Window.partitionBy("run_id").orderBy(F.desc("weight"), "sample_id")
-    own = own.withColumn("place", F.row_number().over(best)).filter("place = 1").select("run_id", "sample_id")
-    got = scored.filter(F.col("confidence") >= least).join(own, ["run_id", "sample_id"])
+    best = own.groupBy("run_id").agg(F.max_by("sample_id", F.struct("weight", (-F.col("sample_id")).alias("k"))).alias("sample_id"))
+    got = scored.filter(F.col("confidence") >= least).join(sized_broadcast(cut(best), n_labels), ["run_id", "sample_id"])
+    got = got.select("peak_id", "lp_id", "run_id", "sample_id", "confidence", "off")
     for side in (["lp_id"], ["peak_id", "run_id"]):
         w = Window.partitionBy(*side).orderBy(F.desc("confidence"), "off", "peak_id", "lp_id")
         got = got.withColumn("place", F.row_number().over(w)).filter("place = 1").drop("place")
