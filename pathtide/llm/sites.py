@@ -133,8 +133,8 @@ def _site_pairs(calls: DataFrame, owners: DataFrame, linear: DataFrame, n_owners
 def link_sites(peaks: DataFrame, nodes: DataFrame, samples: DataFrame, linear: DataFrame, runs: DataFrame, least: float = CONFIDENCE) -> DataFrame:
     """Matches of graph peaks and linear peaks that call the same site in the same sample.
 
-    Result: peak_id, lp_id, run_id, sample_id, confidence (the posterior, at least ``least``). Each
-    peak_id and lp_id counts once. A run belongs to the one sample its pairs speak for most; within
+    Result: peak_id, lp_id, run_id, sample_id, confidence (the posterior, at least ``least``: of the
+    run's and sample's match times that of the calls' match). Each peak_id and lp_id counts once. A run belongs to the one sample its pairs speak for most; within
     it a linear peak has one graph peak and a graph peak one linear peak a run, by confidence. Rows
     with nulls in ids, positions or paths take no part; unknown scores or labels count for neither
     side. Empty tables give no matches.
@@ -154,17 +154,20 @@ def link_sites(peaks: DataFrame, nodes: DataFrame, samples: DataFrame, linear: D
     ]
     pairs = _site_pairs(calls, labels.select("run_id", "sample_id"), linear, n_labels)
     pairs = cut(pairs.select("peak_id", "lp_id", "run_id", "sample_id", *[c.level() for c in geometry], (ds + de).cast("int").alias("off")))
-    # What all pairs of a run and a sample say together: the share of the sample's peaks met closely.
+    # A run and a sample are linked first: by their labels, and by what all their pairs say together, the share of the sample's peaks met closely.
     met = pairs.groupBy("run_id", "sample_id").agg(F.count_if((F.col("c_start") <= 1) & (F.col("c_end") <= 1)).alias("met"))
     held = calls.groupBy("sample_id").agg(F.count(F.lit(1)).alias("held"))
-    share = F.col("met") / F.col("held")
+    share = F.coalesce("met", F.lit(0)) / F.col("held")
     support = Comparison("support", [share >= 0.3, share >= 0.15, share >= 0.05])
-    backed = cut(met.join(held, "sample_id").join(labels, ["run_id", "sample_id"]).select("run_id", "sample_id", support.level(), *[f"c_{n}" for n in LABEL_COMPARISONS]))
-    compared = pairs.join(sized_broadcast(backed, n_labels), ["run_id", "sample_id"])
-    everything = geometry + [Comparison(n, [F.lit(True)] * k) for n, k in LABEL_COMPARISONS.items()] + [support]
-    scored = compared.withColumn("confidence", fit(compared, everything).posterior())
-    own = scored.groupBy("run_id", "sample_id").agg(F.sum("confidence").alias("weight"))
-    best = own.groupBy("run_id").agg(F.max_by("sample_id", F.struct("weight", (-F.col("sample_id")).alias("k"))).alias("sample_id"))
+    owners = labels.join(held, "sample_id").join(met, ["run_id", "sample_id"], "left")
+    owners = cut(owners.select("run_id", "sample_id", support.level(), *[f"c_{n}" for n in LABEL_COMPARISONS]))
+    told = [Comparison(n, [F.lit(True)] * k) for n, k in LABEL_COMPARISONS.items()] + [support]
+    owners = cut(owners.select("run_id", "sample_id", fit(owners, told).posterior().alias("owned")))
+    # Then the calls themselves, by their geometry, as far as their run and sample are linked.
+    compared = pairs.join(sized_broadcast(owners, n_labels), ["run_id", "sample_id"])
+    scored = compared.withColumn("confidence", F.col("owned") * fit(compared, geometry, able="owned").posterior())
+    best = scored.groupBy("run_id", "sample_id").agg(F.sum("confidence").alias("weight"))
+    best = best.groupBy("run_id").agg(F.max_by("sample_id", F.struct("weight", (-F.col("sample_id")).alias("k"))).alias("sample_id"))
     got = scored.filter(F.col("confidence") >= least).join(sized_broadcast(cut(best), n_labels), ["run_id", "sample_id"])
     got = got.select("peak_id", "lp_id", "run_id", "sample_id", "confidence", "off")
     for side in (["lp_id"], ["peak_id", "run_id"]):

@@ -102,4 +102,12 @@ def test_parts(spark):
     runs = spark.createDataFrame([(1, "SEED COAT PABA7 (2)", 100, DAY, ""), (2, "PAAB7", None, None, ""), (3, "", None, None, "")], RUNS)
     samples = spark.createDataFrame([(1, "PABA7", "seed coat", 2, 100, DAY, ""), (2, "PABA7", "leaf", 1, 900, DAY, ""), (3, None, None, None, None, None, "")], SAMPLES)
     got = {(r.run_id, r.sample_id): (r.c_factor, r.c_tissue, r.c_replicate, r.c_reads, r.c_days) for r in run_sample_candidates(runs, samples).collect()}
-    assert got == {(1, 1): (0, 0, 0, 0, 0), (2, 1): (1, -1, -1, -1, -1), (2, 2): (1, -1, -1, -1, -1)}
+    # Conflicting labels are candidates too: the fit judges them.
+    assert got == {(1, 1): (0, 0, 0, 0, 0), (1, 2): (0, 2, 1, 2, 0), (2, 1): (1, -1, -1, -1, -1), (2, 2): (1, -1, -1, -1, -1)}
+
+
+def test_matches_stay_among_linked_owners():
+    # Half the pairs are of owners that don't match; their agreement by chance is no evidence of matches.
+    patterns, counts = np.array([[0, 0], [1, 1], [0, 1], [1, 0]]), np.array([600.0, 500.0, 60.0, 60.0])
+    got = estimate(patterns, counts, ["a", "b"], [2, 2], able=counts * np.array([0.9, 0.1, 0.5, 0.5]))
+    assert got.share > 0.7 and got.m[0][0] > 0.8 and got.u[0][1] > 0.8
