@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pathtide.llm.setjoin import class_links, set_records, similar_classes, similar_pairs
 from pathtide.llm.sites import link_sites
 from pathtide.llm.topn import top_n
-from pathtide.session import cut, table
+from pathtide.session import table
 
 #: Least Jaccard similarity of two peaks' node sets.
 NODE_SIMILARITY = 0.7
@@ -29,7 +29,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_classes(spark: SparkSession, d: str) -> DataFrame:
     """One row per peak: the class of peaks with the same node set, and its number of similar peaks."""
-    records = cut(set_records(_node_sets(spark, d), "unique_id", "nodes"))
+    records = set_records(_node_sets(spark, d), "unique_id", "nodes")
     return class_links(records, similar_classes(records, NODE_SIMILARITY)).withColumnRenamed("id", "unique_id")
 
 
