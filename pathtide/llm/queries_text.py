@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathtide.llm.looks import look_alike_pairs, one_form
+from pathtide.llm.looks import look_alike_pairs, look_classes, one_form
 from pathtide.llm.mixing import mix, mix_report, plan_mix
 from pathtide.llm.packing import pack
 from pathtide.session import table
@@ -17,6 +17,17 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return got.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
 
 
+def p8_rules(spark: SparkSession, d: str) -> DataFrame:
+    """How many pairs each rule settles: characters, vocabulary or fold."""
+    got = look_alike_pairs(one_form(table(spark, d, "documents"), "doc_id", "text"))
+    return got.groupBy("rule").agg(F.count(F.lit(1)).alias("n_pairs"))
+
+
+def p8_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row per document: the class of texts of equal look, and its number of documents that spell it otherwise."""
+    return look_classes(one_form(table(spark, d, "documents"), "doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
 def p8_forms(spark: SparkSession, d: str) -> DataFrame:
     """Every document's text, repaired and in its one form."""
     return one_form(table(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "repaired", "form")
@@ -79,7 +90,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p6_found": p6_found, "p6_containers": p6_containers, "p6_fill": p6_fill,
     "p7_found": p7_found, "p7_mixture": p7_mixture, "p7_shares": p7_shares,
-    "p8_found": p8_found, "p8_forms": p8_forms,
+    "p8_found": p8_found, "p8_rules": p8_rules, "p8_classes": p8_classes, "p8_forms": p8_forms,
 }
 
 SQL: dict[str, str] = {

@@ -2,7 +2,7 @@ import random
 import unicodedata
 
 from pathtide.llm import looks
-from pathtide.llm.looks import look_alike_pairs, one_form, plain, rewritten, token_scripts
+from pathtide.llm.looks import look_alike_pairs, look_classes, one_form, plain, rewritten, token_scripts
 
 SCHEMA = "doc_id long, text string, form string, r1 int, tokens string"
 TEXTS = [
@@ -44,9 +44,13 @@ def test_equal_looks_get_equal_forms(spark):
         by.setdefault(f, set()).add(truth[k])
     assert all(len(v) == 1 for v in by.values())
     assert len(by) == len(TEXTS)
-    got = {tuple(x) for x in look_alike_pairs(one_form(spark.createDataFrame(rows, SCHEMA), "doc_id", "text")).collect()}
+    found = look_alike_pairs(one_form(spark.createDataFrame(rows, SCHEMA), "doc_id", "text")).collect()
+    got = {(x.id_a, x.id_b) for x in found}
     text = {k: t for k, t, *_ in rows}
-    assert got == {(a, b) for a in truth for b in truth if a < b and truth[a] == truth[b] and text[a] != text[b]}
+    assert len(found) == len(got) and got == {(a, b) for a in truth for b in truth if a < b and truth[a] == truth[b] and text[a] != text[b]}
+    assert {x.rule for x in found} == {"characters", "vocabulary", "fold"}
+    classes = {x.id: (x.class_id, x.n_links) for x in look_classes(one_form(spark.createDataFrame(rows, SCHEMA), "doc_id", "text")).collect()}
+    assert classes == {k: (truth[k], sum(k in p for p in got)) for k in truth}
 
 
 def test_differences_to_see_stay(spark):
@@ -66,7 +70,26 @@ def test_vocabulary_repair_and_edges(spark):
     assert look_alike_pairs(one_form(spark.createDataFrame(rows[3:], SCHEMA), "doc_id", "text")).count() == 0
 
 
+def test_vocabulary_decides_near_look_alikes(spark):
+    rows = [(1, "a red key", "", 0, ""), (2, "a red кey", "", 0, ""), (3, "τhe κеу", "", 0, ""), (4, "the кeq", "", 0, ""), (5, "the keq 2", "", 0, ""), (6, "the key", "", 0, "")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    pairs = lambda **kw: {(x.id_a, x.id_b, x.rule) for x in look_alike_pairs(one_form(df, "doc_id", "text", **kw)).collect()}
+    # κеу of Greek and Cyrillic letters is key, as the corpus has that word; so is τhe.
+    assert pairs() == {(1, 2, "vocabulary"), (3, 6, "vocabulary")}
+    assert pairs(vocabulary=False) == set()
+
+
+def test_signs_and_fonts(spark):
+    pairs = [("a-b", "a‐b"), ("a-b c", "a‑b c"), ("1:2", "1∶2"), ("1/2", "1⁄2"), ("Read", "𝐑𝐞𝐚𝐝"), ("ГЛПФ", "ΓΛΠΦ"), ("a,b", "a‚b"), ("gene", "ɡene")]
+    rows = [(2 * i + j, t, None, None, None) for i, p in enumerate(pairs) for j, t in enumerate(p)]
+    got = {(x.id_a, x.id_b) for x in look_alike_pairs(one_form(spark.createDataFrame(rows, SCHEMA), "doc_id", "text")).collect()}
+    assert got == {(2 * i, 2 * i + 1) for i in range(len(pairs))}
+    apart = [("a-b", "a–b"), ("a-b ", "a−b "), ("it's", "it’s"), ("1", "𝟏"), ("i", "ı")]
+    rows = [(i, t, None, None, None) for i, t in enumerate(x for p in apart for x in p)]
+    assert look_alike_pairs(one_form(spark.createDataFrame(rows, SCHEMA), "doc_id", "text")).count() == 0
+
+
 def test_token_rules():
-    assert token_scripts("ѕecοnd") == (True, "L", "L") and rewritten("ѕecοnd", "L") == "second"
+    assert token_scripts("ѕecοnd") == (True, "L") and rewritten("ѕecοnd", "L") == "second"
     assert rewritten("Oκολo", "G") == "Οκολο" and token_scripts("ВОР")[1] is None
     assert plain("é") == "é" and plain("ﬁ​ｘ") == "fix"
