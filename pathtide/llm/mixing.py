@@ -1,9 +1,11 @@
 """Mixing sources to target shares of the total size, with capped repetition.
 
-Weights are planned from one number per source: the target share, at most what the repetition limit
-allows; what capped sources leave over goes to the others by their token shares raised to an
-exponent that is bisected until no repetition limit is passed. The weights are then realised as
-whole passes over a source and one partial pass, taken block by block in a permuted order.
+Weights are planned from one number per source. A source has its target share, at most what its
+repetition limit allows. What sources at their limit leave over goes to the others by their token
+shares raised to an exponent - a temperature - and no source gets more than its limit. The exponent
+is bisected until these others are as diverse as their targets are, in entropy, or as near to that
+as the limits allow. The weights are then realised as whole passes over a source and one partial pass,
+taken block by block in a permuted order.
 """
 
 from __future__ import annotations
@@ -13,8 +15,12 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathtide.session import sized_broadcast
+
 #: Blocks a source's pass is cut into. Only the block in which the budget ends is read row by row.
 BLOCKS = 4096
+#: The highest exponent tried: there nearly all that is spread goes to the largest source.
+HOTTEST = 8.0
 _ROUNDS = 60
 
 
@@ -31,67 +37,72 @@ def entropy(shares: dict[str, float]) -> float:
     return -sum(p * math.log(p) for p in shares.values() if p > 0)
 
 
+def bisected(diversity, wanted: float, low: float = 0.0, high: float = HOTTEST) -> float:
+    """The exponent in [low, high] at which ``diversity``, which falls as the exponent rises, comes nearest to the wanted one."""
+    if diversity(low) <= wanted:
+        return low
+    if diversity(high) >= wanted:
+        return high
+    for _ in range(_ROUNDS):
+        mid = (low + high) / 2
+        low, high = (mid, high) if diversity(mid) > wanted else (low, mid)
+    return (low + high) / 2
+
+
 def exponent_for_entropy(sizes: dict[str, float], wanted: float) -> float:
     """The exponent in [0, 1] whose powered shares come nearest to the wanted entropy; lower is flatter."""
     total = sum(sizes.values())
     if total <= 0:
         return 1.0
-    shares, lo, hi = {s: n / total for s, n in sizes.items()}, 0.0, 1.0
-    for _ in range(_ROUNDS):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if entropy(powered(shares, mid)) > wanted else (lo, mid)
-    return (lo + hi) / 2
+    shares = {s: n / total for s, n in sizes.items()}
+    return bisected(lambda x: entropy(powered(shares, x)), wanted, 0.0, 1.0)
 
 
-def spread(spare: float, shares: dict[str, float], room: dict[str, float]) -> dict[str, float]:
-    """``spare`` over the sources by powered shares within each one's room, the exponent as near to 1 as that allows.
+def spread(spare: float, shares: dict[str, float], room: dict[str, float], exponent: float) -> dict[str, float]:
+    """``spare`` over the sources by powered shares, none beyond its room.
 
-    Where no exponent fits, the sources over their room are filled and the rest is spread again;
-    what is over when all are full stays unspent.
+    Sources that would pass their room are filled, and the rest is spread again over the others
+    with the same exponent; what is over when all are full stays unspent.
     """
     out = dict.fromkeys(shares, 0.0)
     free = {s for s in shares if room[s] > 0 and shares[s] > 0}
     while spare > 1e-15 and free:
-        mine = {s: shares[s] for s in free}
-
-        def over(exponent: float, mine: dict[str, float] = mine, spare: float = spare) -> tuple[float, dict[str, float]]:
-            part = {s: spare * p for s, p in powered(mine, exponent).items()}
-            return max(part[s] - (room[s] - out[s]) for s in mine), part
-
-        worst, part = over(1.0)
-        if worst > 1e-15:
-            best = None
-            for bound in (0.0, 8.0):
-                lo, hi = 1.0, bound  # hi is the far end; a fit nearest to 1 is looked for
-                if over(hi)[0] > 1e-15:
-                    continue
-                for _ in range(_ROUNDS):
-                    mid = (lo + hi) / 2
-                    lo, hi = (lo, mid) if over(mid)[0] <= 1e-15 else (mid, hi)
-                if best is None or abs(hi - 1) < abs(best - 1):
-                    best = hi
-            if best is not None:
-                worst, part = over(best)
-        if worst <= 1e-15:
-            for s in part:
-                out[s] += part[s]
-            return out
-        full = [s for s in part if part[s] >= room[s] - out[s]]
+        part = powered({s: shares[s] for s in free}, exponent)
+        full = [s for s in free if spare * part[s] >= room[s] - out[s]]
+        if not full:
+            for s in free:
+                out[s] += spare * part[s]
+            break
         for s in full:
             spare -= room[s] - out[s]
             out[s] = room[s]
-            free.discard(s)
+        free -= set(full)
     return out
 
 
-def plan_weights(sizes: dict[str, int], targets: dict[str, float], repeats: dict[str, int], budget: float) -> dict[str, float]:
-    """Each source's share of the budget: the target, or less where its repeats can't reach it, plus what others leave."""
+def plan_weights(sizes: dict[str, int], targets: dict[str, float], repeats: dict[str, int], budget: float) -> tuple[dict[str, float], float]:
+    """Each source's share of the budget, and the exponent by which what was left over is spread."""
     total = sum(sizes.values())
     limit = {s: repeats[s] * sizes[s] / budget if budget > 0 else 0.0 for s in sizes}
     base = {s: min(targets[s], limit[s]) for s in sizes}
     spare = max(0.0, min(1.0, sum(targets.values())) - sum(base.values()))
-    extra = spread(spare, {s: n / total if total else 0.0 for s, n in sizes.items()}, {s: limit[s] - base[s] for s in sizes})
-    return {s: base[s] + extra[s] for s in sizes}
+    shares = {s: n / total if total else 0.0 for s, n in sizes.items()}
+    room = {s: limit[s] - base[s] for s in sizes}
+
+    def mixed(exponent: float) -> dict[str, float]:
+        extra = spread(spare, shares, room, exponent)
+        return {s: base[s] + extra[s] for s in sizes}
+
+    free = [s for s in sizes if room[s] > 1e-15 and shares[s] > 0]
+    if spare <= 1e-15 or not free:
+        return mixed(1.0), 1.0
+
+    def diversity(weights: dict[str, float]) -> float:
+        whole = sum(weights[s] for s in free)
+        return entropy({s: weights[s] / whole for s in free}) if whole else 0.0
+
+    exponent = bisected(lambda x: diversity(mixed(x)), diversity(targets))
+    return mixed(exponent), exponent
 
 
 def _listed(df: DataFrame, id_col: str, source_col: str, size_col: str, targets: DataFrame) -> tuple[DataFrame, list]:
@@ -107,20 +118,27 @@ def _listed(df: DataFrame, id_col: str, source_col: str, size_col: str, targets:
 
 
 def plan_mix(df: DataFrame, id_col: str, source_col: str, size_col: str, targets: DataFrame, budget: int | None = None) -> DataFrame:
-    """The plan, one row per listed source: source, target_share, max_repeats, tokens, budget, short.
-
-    targets: source, target_share, max_repeats. The budget of all is ``budget`` tokens, by default
-    those of all listed sources. short: even max_repeats passes stay below the target share of it.
-    A listed source without items has 0 tokens. Items with a null source or of no size, and targets
-    with a null source or no share, take no part; null max_repeats allow none; a source listed twice
-    counts once, with its larger share. An empty table gives sources with 0 tokens.
+    """The plan, one row per listed source: source, target_share, max_repeats, tokens, exponent, budget, total.
+
+    targets: source, target_share, max_repeats. total, the budget of all, is ``budget`` tokens, by
+    default those of all listed sources; budget is the source's own part of it. exponent is the one
+    all sources share. A listed source without items has 0 tokens. Items with a null source or of no
+    size, and targets with a null source or no share, take no part; null max_repeats allow none; a
+    source listed twice counts once, with its larger share. An empty table gives sources with 0
+    tokens.
     """
     _, rows = _listed(df, id_col, source_col, size_col, targets)
-    sizes = {r["source"]: r["tokens"] for r in rows}
+    sizes, repeats = {r["source"]: r["tokens"] for r in rows}, {r["source"]: r["max_repeats"] for r in rows}
     total = sum(sizes.values()) if budget is None else budget
-    weights = plan_weights(sizes, {r["source"]: r["target_share"] for r in rows}, {r["source"]: r["max_repeats"] for r in rows}, total)
-    out = [(r["source"], r["target_share"], r["max_repeats"], r["tokens"], math.floor(weights[r["source"]] * total + 1e-6), r["max_repeats"] * r["tokens"] < r["target_share"] * total) for r in rows]
-    return df.sparkSession.createDataFrame(out, "source string, target_share double, max_repeats long, tokens long, budget long, short boolean")
+    weights, exponent = plan_weights(sizes, {r["source"]: r["target_share"] for r in rows}, repeats, total)
+
+    def own(s: str) -> int:
+        most = repeats[s] * sizes[s]
+        # At its limit a source gives its passes whole, whatever the fractions round to.
+        return most if weights[s] * total >= most * (1 - 1e-12) else min(most, math.floor(weights[s] * total + 1e-6))
+
+    out = [(r["source"], r["target_share"], r["max_repeats"], r["tokens"], exponent, own(r["source"]), total) for r in rows]
+    return df.sparkSession.createDataFrame(out, "source string, target_share double, max_repeats long, tokens long, exponent double, budget long, total long")
 
 
 def mix(df: DataFrame, id_col: str, source_col: str, size_col: str, plan: DataFrame, seed: int = 11, blocks: int = BLOCKS) -> DataFrame:
@@ -132,9 +150,9 @@ def mix(df: DataFrame, id_col: str, source_col: str, size_col: str, plan: DataFr
     max_repeats times.
     """
     own = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(size_col).cast("long").alias("size")).filter("size > 0")
-    # The plan has one row per listed source.
     asked = plan.filter("tokens > 0 and budget > 0").withColumn("passes", F.expr("budget div tokens")).withColumn("over", F.expr("budget % tokens"))
-    rows = own.join(F.broadcast(asked.select("source", "passes", "over", (F.col("budget") / F.col("tokens")).alias("rounds"))), "source")
+    n_sources = plan.count()
+    rows = own.join(sized_broadcast(asked.select("source", "passes", "over", (F.col("budget") / F.col("tokens")).alias("rounds")), n_sources), "source")
     each = rows.withColumn("pass_no", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes"))))
     fraction = (F.pmod(F.xxhash64("id", "pass_no", F.lit(seed)), F.lit(2**40)) / 2**40).alias("spot")
     each = each.withColumn("spot", fraction).withColumn("block", F.floor(F.col("spot") * blocks))
@@ -144,7 +162,7 @@ def mix(df: DataFrame, id_col: str, source_col: str, size_col: str, plan: DataFr
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = sums.withColumn("before", before)
     # At most ``blocks`` rows per listed source.
-    placed = partial.join(sums, ["source", "block"])
+    placed = partial.join(sized_broadcast(sums, n_sources * blocks), ["source", "block"])
     inside = placed.filter(F.col("before") + F.col("n") <= F.col("over"))
     border = placed.filter((F.col("before") < F.col("over")) & (F.col("before") + F.col("n") > F.col("over")))
     run = F.sum("size").over(Window.partitionBy("source", "block").orderBy("spot", "id").rowsBetween(Window.unboundedPreceding, 0))
@@ -156,8 +174,15 @@ def mix(df: DataFrame, id_col: str, source_col: str, size_col: str, plan: DataFr
 
 
 def mix_report(mixture: DataFrame, plan: DataFrame) -> DataFrame:
-    """The plan's columns with taken (tokens in the mixture), reached_share and repeats (taken / tokens)."""
+    """The plan's columns with taken (tokens in the mixture), reached_share, repeats (taken / tokens) and short.
+
+    short: the mixture has all that the source's repeats allow, and that is below its target share
+    of the total (in whole tokens).
+    """
     taken = mixture.groupBy("source").agg(F.sum("size").alias("taken"))
     got = plan.join(taken, "source", "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
+    # One row a listed source.
     share = F.col("taken") / F.nullif(F.sum("taken").over(Window.partitionBy()), F.lit(0))
-    return got.withColumn("reached_share", F.coalesce(share, F.lit(0.0))).withColumn("repeats", F.coalesce(F.col("taken") / F.nullif(F.col("tokens"), F.lit(0)), F.lit(0.0)))
+    got = got.withColumn("reached_share", F.coalesce(share, F.lit(0.0))).withColumn("repeats", F.coalesce(F.col("taken") / F.nullif(F.col("tokens"), F.lit(0)), F.lit(0.0)))
+    most = F.col("max_repeats") * F.col("tokens")
+    return got.withColumn("short", (F.col("taken") >= most) & (most < F.col("target_share") * F.col("total")))
