@@ -2,7 +2,8 @@
 
 The sizes form a histogram of at most ``capacity`` bars, however many items there are. Patterns of a
 few sizes that fill a container are enumerated on a coarse grid, their repeat counts are fitted to
-the histogram by non-negative least squares and rounded down to what the bars hold, and the residual
+the histogram by non-negative least squares and rounded down to what the bars hold. A pattern's last
+item is the largest left that fits, so that what the grid rounds away is used as well. The residual
 bars are packed best-fit first, also into the room the patterns leave. The plan speaks of "the r-th
 item of size s" only; items are numbered within their size by Spark and look their container up.
 """
@@ -10,6 +11,8 @@ item of size s" only; items are numbered within their size by Spark and look the
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,52 +20,85 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathtide.operators.scan import scan, sharded
 from pathtide.session import cut, sized_broadcast
 
-#: Bars of the grid on which patterns are enumerated, and the most sizes in a pattern.
-GRID, DEPTH = 256, 3
+#: Bars of the grid on which patterns are enumerated.
+GRID = 256
 #: Items of one numbering block; blocks keep a size that a third of all items share in many tasks.
 BLOCK_ITEMS = 100_000
 
 
-def nnls(a: np.ndarray, b: np.ndarray, steps: int = 400) -> np.ndarray:
-    """x >= 0 that makes a @ x near b in the least squares: accelerated projected gradient."""
-    norm = np.linalg.norm(a, 2) ** 2 if a.size else 1.0
-    x = y = np.zeros(a.shape[1])
-    t = 1.0
-    for _ in range(steps):
-        new = np.maximum(0.0, y - a.T @ (a @ y - b) / norm)
+def nnls(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, b: np.ndarray, n_columns: int, tolerance: float = 1e-9, most: int = 5000) -> np.ndarray:
+    """x >= 0 that makes A @ x near b in the least squares; A is given by its entries, sorted by column.
+
+    Accelerated projected gradient, started anew whenever it overshoots, on rows weighted by the
+    inverse root of b and columns of length 1, until the residual no longer falls.
+    """
+    if not len(rows):
+        return np.zeros(n_columns)
+    weight = 1 / np.sqrt(np.maximum(b, 1))
+    entries, wanted = values * weight[rows], b * weight
+    length = np.sqrt(np.bincount(columns, entries**2, n_columns))
+    entries = entries / length[columns]
+    times = lambda x: np.bincount(rows, entries * x[columns], len(b))
+    turned = lambda r: np.bincount(columns, entries * r[rows], n_columns)
+    v = np.ones(n_columns)
+    for _ in range(50):
+        v = turned(times(v))
+        v /= np.linalg.norm(v)
+    step = 1 / (1.02 * float(v @ turned(times(v))))
+    x = y = np.zeros(n_columns)
+    t, last = 1.0, math.inf
+    for i in range(most):
+        new = np.maximum(0.0, y - step * turned(times(y) - wanted))
+        if (y - new) @ (new - x) > 0:
+            t = 1.0
         t2 = (1 + math.sqrt(1 + 4 * t * t)) / 2
         y = new + (t - 1) / t2 * (new - x)
         x, t = new, t2
-    return x
+        if i % 50 == 49:
+            left = float(np.linalg.norm(times(x) - wanted))
+            if last - left < tolerance * max(1.0, float(np.linalg.norm(wanted))):
+                break
+            last = left
+    return x / length
 
 
-def patterns(bars: list[int], grid: int, depth: int) -> list[tuple[int, ...]]:
-    """Falling tuples of at most ``depth`` grid sizes from ``bars`` that fill ``grid`` exactly."""
+def patterns(bars: list[int], grid: int) -> list[tuple[tuple[int, int], ...]]:
+    """What fills ``grid`` exactly: one or two sizes of ``bars``, each any number of times, or three different ones; as ((size, times), ...), sizes falling."""
     have = sorted(bars, reverse=True)
-    out: list[tuple[int, ...]] = []
+    known, out = set(have), []
+    for i, a in enumerate(have):
+        for k in range(1, grid // a + 1):
+            rest = grid - k * a
+            if not rest:
+                out.append(((a, k),))
+            out += [((a, k), (rest // m, m)) for m in range(1, rest + 1) if rest % m == 0 and rest // m < a and rest // m in known]
+        out += [((a, 1), (b, 1), (grid - a - b, 1)) for b in have[i + 1:] if 0 < grid - a - b < b and grid - a - b in known]
+    return out
 
-    def grow(left: int, at: int, head: tuple[int, ...]) -> None:
-        for i in range(at, len(have)):
-            s = have[i]
-            if s == left:
-                out.append((*head, s))
-            elif s < left and len(head) + 1 < depth and s * (depth - len(head)) >= left:
-                grow(left - s, i, (*head, s))
 
-    grow(grid, 0, ())
-    return out
+def fitted(want: dict[int, int], grid: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+    """The patterns of the histogram ``want`` on the grid with how often each is repeated, rounded down; those with the largest sizes first."""
+    bars = sorted(want)
+    index = {b: i for i, b in enumerate(bars)}
+    shapes = patterns(bars, grid)
+    entries = [(index[b], j, k) for j, shape in enumerate(shapes) for b, k in shape]
+    rows, columns, values = (np.array([e[i] for e in entries], dtype=np.int64) for i in range(3))
+    repeats = np.floor(nnls(rows, columns, values, np.array([want[b] for b in bars], dtype=float), len(shapes)) + 1e-6).astype(np.int64)
+    return sorted(((shapes[j], int(repeats[j])) for j in np.nonzero(repeats)[0]), key=lambda x: (-x[0][0][0], x[0]))
 
 
-def plan_packing(histogram: dict[int, int], capacity: int, grid: int = GRID, depth: int = DEPTH) -> tuple[list[tuple[int, int, int, int, int]], int]:
+def plan_packing(histogram: dict[int, int], capacity: int, grid: int = GRID, fit: bool = True) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """(slots, containers): slots are (size, first rank, items, first container, items a container).
 
     Item r of a slot goes to container first + (r - first rank) // items a container. Every item of
     the histogram has exactly one place and no container is over its capacity. The work depends on
-    the number of different sizes, not on the number of items.
+    the number of different sizes, not on the number of items. Without ``fit`` all is packed best-fit.
     """
     left = {s: n for s, n in histogram.items() if n > 0 and 0 < s <= capacity}
+    sizes = sorted(left)
     used = dict.fromkeys(left, 0)
     slots: list[tuple[int, int, int, int, int]] = []
     room: dict[int, list[list[int]]] = {}  # free space: [first container, containers] runs
@@ -74,44 +110,38 @@ def plan_packing(histogram: dict[int, int], capacity: int, grid: int = GRID, dep
         left[size] -= items
         if not left[size]:
             del left[size]
+            sizes.pop(bisect_left(sizes, size))
+
+    def chosen(shape: tuple[tuple[int, int], ...]) -> Counter | None:
+        """Sizes for one container: the largest left of each bar, and at last the largest left that fits."""
+        picked: Counter = Counter()
+        for b in [b for b, k in shape for _ in range(k)][:-1]:
+            s = next((s for s in by_bar[b] if left.get(s, 0) > picked[s]), None)
+            if s is None:
+                return None
+            picked[s] += 1
+        at = bisect_right(sizes, capacity - sum(s * k for s, k in picked.items())) - 1
+        while at >= 0 and left[sizes[at]] <= picked[sizes[at]]:
+            at -= 1
+        if at < 0:
+            return None
+        picked[sizes[at]] += 1
+        return picked
 
-    unit = capacity / grid
-    bar_of = {s: min(grid, math.ceil(s / unit)) for s in left}
     by_bar: dict[int, list[int]] = {}
-    for s in sorted(left, reverse=True):
-        by_bar.setdefault(bar_of[s], []).append(s)
-    shapes = patterns(list(by_bar), grid, depth)
-    if shapes:
-        index = {b: i for i, b in enumerate(by_bar)}
-        a = np.zeros((len(by_bar), len(shapes)))
-        for j, shape in enumerate(shapes):
-            for b in shape:
-                a[index[b], j] += 1
-        want = np.array([sum(left[s] for s in by_bar[b]) for b in by_bar], dtype=float)
-        scale = max(1.0, want.max())
-        repeats = np.floor(nnls(a, want / scale) * scale + 1e-6).astype(np.int64)
-        # Long patterns first: short items are the better filling for what is left over.
-        for j in sorted(np.nonzero(repeats)[0], key=lambda j: (len(shapes[j]), shapes[j])):
-            todo = int(repeats[j])
-            while todo > 0:
-                # One size of each bar at a time, the largest that is left; a run of equal containers.
-                picked: dict[int, int] = {}
-                for b in shapes[j]:
-                    s = next((s for s in by_bar[b] if left.get(s, 0) > picked.get(s, 0)), None)
-                    if s is None:
-                        picked = {}
-                        break
-                    picked[s] = picked.get(s, 0) + 1
-                if not picked:
-                    break
-                runs = min(todo, *(left[s] // k for s, k in picked.items()))
-                for s, k in picked.items():
-                    take(s, runs * k, made, k)
-                free = capacity - sum(s * k for s, k in picked.items())
-                if free:
-                    room.setdefault(free, []).append([made, runs])
-                made += runs
-                todo -= runs
+    for s in reversed(sizes):
+        by_bar.setdefault(min(grid, math.ceil(s * grid / capacity)), []).append(s)
+    for shape, todo in fitted({b: sum(left[s] for s in own) for b, own in by_bar.items()}, grid) if fit and left else []:
+        while todo > 0 and (picked := chosen(shape)):
+            # A run of equal containers at a time.
+            runs = min(todo, *(left[s] // k for s, k in picked.items()))
+            for s, k in picked.items():
+                take(s, runs * k, made, k)
+            free = capacity - sum(s * k for s, k in picked.items())
+            if free:
+                room.setdefault(free, []).append([made, runs])
+            made += runs
+            todo -= runs
     # Residual: largest size first, into the tightest room that holds it, else a new container.
     for s in sorted(left, reverse=True):
         while left.get(s, 0):
@@ -156,7 +186,7 @@ def _lookup(slots: list[tuple[int, int, int, int, int]]):
     return run
 
 
-def pack(df: DataFrame, id_col: str, size_col: str, capacity: int, grid: int = GRID, depth: int = DEPTH) -> DataFrame:
+def pack(df: DataFrame, id_col: str, size_col: str, capacity: int, grid: int = GRID) -> DataFrame:
     """Each item's container: id, piece, n_pieces, size (of the piece), container.
 
     An item larger than the capacity is cut into pieces: full ones with a container each, and a rest
@@ -174,7 +204,7 @@ def pack(df: DataFrame, id_col: str, size_col: str, capacity: int, grid: int = G
     items = own.filter(F.col("rest") > 0).select("id", F.col("whole").alias("piece"), F.col("rest").alias("size"))
     # The number of bars is bounded by the capacity, so the histogram may come to the driver.
     histogram = {r["size"]: r["n"] for r in items.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
-    slots, made = plan_packing(histogram, capacity, grid, depth)
+    slots, made = plan_packing(histogram, capacity, grid)
     blocks = max(1, math.ceil(sum(histogram.values()) / BLOCK_ITEMS))
     items = items.withColumn("block", F.pmod(F.xxhash64("id", "piece"), F.lit(blocks)))
     counts = items.groupBy("size", "block").agg(F.count(F.lit(1)).alias("n"))
@@ -186,7 +216,8 @@ def pack(df: DataFrame, id_col: str, size_col: str, capacity: int, grid: int = G
     # Full pieces: containers after the planned ones, numbered by block and within it.
     large = own.filter(F.col("whole") > 0).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks * 16)))
     base = large.groupBy("block").agg(F.sum("whole").alias("n"))
-    base = base.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    base = scan(sharded(base.withColumn("axis", F.lit(0)), ["axis"], "block", 4096), ["axis"], "block", sums={"upto": "n"})
+    base = base.select("block", (F.col("upto") - F.col("n")).alias("base"))
     within = F.coalesce(F.sum("whole").over(Window.partitionBy("block").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     large = large.withColumn("within", within).join(sized_broadcast(base, blocks * 16), "block")
     full = large.select("id", "whole", "rest", (F.lit(made) + F.col("base") + F.col("within")).alias("first")).select(

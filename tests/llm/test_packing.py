@@ -4,7 +4,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pathtide.llm.packing import fill_report, nnls, pack, patterns, plan_packing
+from pathtide.llm.packing import fill_report, fitted, nnls, pack, patterns, plan_packing
 
 SCHEMA = "id long, n long, size string, piece string, container int"
 
@@ -35,10 +35,27 @@ def test_plan_is_near_the_bound():
 
 
 def test_nnls_and_patterns():
-    a = np.array([[1.0, 0.0], [1.0, 1.0]])
-    assert np.allclose(nnls(a, np.array([2.0, 5.0])), [2, 3], atol=1e-6)
-    assert (nnls(a, np.array([2.0, 1.0])) >= 0).all()
-    assert set(patterns([1, 2, 4], 4, 3)) == {(4,), (2, 2), (2, 1, 1)}
+    entries = np.array([0, 1, 1]), np.array([0, 0, 1]), np.array([1, 1, 1])
+    assert np.allclose(nnls(*entries, np.array([2.0, 5.0]), 2), [2, 3], atol=1e-6)
+    assert (nnls(*entries, np.array([2.0, 1.0]), 2) >= 0).all() and nnls(*(np.zeros(0, int),) * 3, np.zeros(0), 0).shape == (0,)
+    assert set(patterns([1, 2, 4], 4)) == {((4, 1),), ((2, 2),), ((2, 1), (1, 2)), ((1, 4),)}
+    assert ((5, 1), (2, 1), (1, 1)) in patterns([1, 2, 5], 8)
+
+
+def test_fit_asks_for_what_there_is_and_beats_best_fit():
+    r = np.random.default_rng(3)
+    h = Counter(int(x) for x in np.clip(r.normal(400, 120, 50_000), 1, 1024))
+    bars = Counter()
+    for s, n in h.items():
+        bars[min(256, -(-s // 4))] += n
+    asked = Counter()
+    for shape, times in fitted(bars, 256):
+        for b, k in shape:
+            asked[b] += k * times
+    assert all(asked[b] <= bars[b] + 1 for b in asked) and sum(asked.values()) > 0.5 * sum(bars.values())
+    bound = -(-sum(s * n for s, n in h.items()) // 1024)
+    made, plain = plan_packing(h, 1024)[1], plan_packing(h, 1024, fit=False)[1]
+    assert bound <= made < plain
 
 
 def test_pack(spark):
