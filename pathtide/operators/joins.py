@@ -1,28 +1,58 @@
-"""Joins on positions: ranges that overlap, and the last row at or before a position."""
+"""Joins on positions - ranges that overlap, the last row at or before a position - and on keys that may be hot."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathtide.session import cut, sized_broadcast
+
+#: Rows of one key, or of one bin and side, that are joined in one part.
+PART = 4096
 #: Width of a bin of the range join.
 BIN = 1 << 12
 
 
-def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], a_range: tuple[str, str], b_range: tuple[str, str], width: int = BIN) -> DataFrame:
+def attach(rows: DataFrame, table: DataFrame, key: list[str], by: list[str], part: int = PART) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row a key; rows without one are left out.
+
+    The rows of a key with more than ``part`` of them are divided by their columns ``by``, and the
+    key's row goes to every part.
+    """
+    hot = cut(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > part).select(*key, F.ceil(F.col("_n") / part).alias("_parts")))
+    hot = sized_broadcast(hot, hot.count())
+    parts = F.coalesce("_parts", F.lit(1))
+    left = rows.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(*by), parts)).drop("_parts")
+    right = table.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
+    return left.join(right, [*key, "_part"]).drop("_part")
+
+
+def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], a_range: tuple[str, str], b_range: tuple[str, str], width: int = BIN, hot: int | None = None) -> DataFrame:
     """Pairs of rows with equal keys whose half-open ranges overlap, each pair once.
 
     Both sides are listed by the bins they touch and joined on key and bin; a pair is kept only in
-    the bin where its overlap begins. The two tables' other column names must differ.
+    the bin where its overlap begins. With ``hot``, bins in which ``a`` has more rows than that are
+    counted first and divided: every part meets all of the bin's rows of ``b``. The two tables'
+    other column names must differ.
     """
     (a0, a1), (b0, b1) = a_range, b_range
+    on = [*keys, "_bin"]
 
     def binned(df: DataFrame, lo: str, hi: str) -> DataFrame:
         return df.filter(F.col(lo) < F.col(hi)).withColumn("_bin", F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor((F.col(hi) - 1) / width))))
 
-    joined = binned(a, a0, a1).join(binned(b, b0, b1), [*keys, "_bin"])
+    left, right = binned(a, a0, a1), binned(b, b0, b1)
+    if hot is not None:
+        full = cut(left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot).select(*on, F.ceil(F.col("_n") / hot).alias("_parts")))
+        n_full = full.count()
+        if n_full:
+            full, parts = sized_broadcast(full, n_full), F.coalesce("_parts", F.lit(1))
+            left = left.join(full, on, "left").withColumn("_part", F.pmod(F.xxhash64(*a.columns), parts)).drop("_parts")
+            right = right.join(full, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
+            on = [*on, "_part"]
+    joined = left.join(right, on)
     first = F.floor(F.greatest(a0, b0) / width)
-    return joined.filter((F.col(a0) < F.col(b1)) & (F.col(b0) < F.col(a1)) & (F.col("_bin") == first)).drop("_bin")
+    return joined.filter((F.col(a0) < F.col(b1)) & (F.col(b0) < F.col(a1)) & (F.col("_bin") == first)).drop("_bin", "_part")
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at: str, columns: list[str], width: int = 1 << 16) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Intervals are clipped to shards of the axis, merged within each shard, and only the pieces that
 touch a shard's border are stitched along the whole axis. An entity with a third of all rows is
-thereby spread over as many tasks as its axis has shards.
+thereby spread over as many tasks as its axis has shards; a shard that alone has very many rows is
+merged in blocks of them first.
 """
 
 from __future__ import annotations
@@ -10,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathtide.session import cut
+from pathtide.session import cut, sized_broadcast
 
-#: Width of a shard on the interval axis.
-SHARD_WIDTH = 1 << 16
+#: Width of a shard on the interval axis, and the rows of one that are merged in one task.
+SHARD_WIDTH, HOT_SHARD = 1 << 16, 1_000_000
 
 
 def _tagged(df: DataFrame, keys: list[str], start: str, end: str, member: str | None, width: int) -> DataFrame:
@@ -69,7 +70,7 @@ def _islands(pieces: DataFrame, part: list[str]) -> DataFrame:
     )
 
 
-def merge_periods(df: DataFrame, keys: list[str], start: str, end: str, member: str | None = None, width: int = SHARD_WIDTH) -> DataFrame:
+def merge_periods(df: DataFrame, keys: list[str], start: str, end: str, member: str | None = None, width: int = SHARD_WIDTH, hot: int = HOT_SHARD) -> DataFrame:
     """Continuous periods and the gaps between them, per ``keys``.
 
     Result: the key columns, kind (``period`` or ``gap``), start_pos, end_pos, n_members. Intervals
@@ -82,12 +83,25 @@ def merge_periods(df: DataFrame, keys: list[str], start: str, end: str, member:
     ks = [f"k{i}" for i in range(len(keys))]
     part = [*ks, "shard"]
     rows = _tagged(df, keys, start, end, member, width)
-    # One exchange by key and shard serves the removal of repeats and the windows after it.
-    pieces = _pieces(rows, ks, width).repartition(*part)
-    if member:
-        pieces = pieces.dropDuplicates([*part, "cs", "ce", "n", "m"])
+    pieces = _pieces(rows, ks, width)
+
+    def merged(some: DataFrame, by: list[str]) -> DataFrame:
+        # One exchange serves the removal of repeats and the windows after it.
+        some = some.repartition(*by)
+        return _islands(some.dropDuplicates([*by, "cs", "ce", "n", "m"]) if member else some, by)
+
+    crowded = cut(pieces.groupBy(*part).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > hot))
+    n_crowded = crowded.count()
+    if n_crowded:
+        marked = pieces.join(sized_broadcast(crowded, n_crowded), part, "left")
+        dense = marked.filter("rows is not null").withColumn("block", F.pmod(F.xxhash64("m", "cs", "ce"), F.ceil(F.col("rows") / hot)))
+        # Each block's islands are pieces of the shard in their turn.
+        islands = merged(dense, [*part, "block"]).select(*part, F.col("ps").alias("cs"), F.col("pe").alias("ce"), "n")
+        local = merged(marked.filter("rows is null"), part).unionByName(_islands(islands.repartition(*part), part))
+    else:
+        local = merged(pieces, part)
     # The islands feed three small outputs: written once, they are read with pruned columns.
-    local = cut(_islands(pieces, part))
+    local = cut(local)
     at_border = (F.col("ps") == F.col("shard")) | (F.col("pe") == F.col("shard") + width)
 
     period = lambda a, b, n: F.struct(F.lit("period").alias("kind"), a.alias("x"), b.alias("y"), n.cast("long").alias("n"))

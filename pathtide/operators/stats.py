@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathtide.functions.poisson import poisson_p
+from pathtide.operators.scan import scan, sharded
 from pathtide.operators.tracks import range_events, step_runs
+from pathtide.session import cut
 
 KEYS = ["chrom"]
 
@@ -41,20 +43,22 @@ def p_track(sample: DataFrame, lam: DataFrame, sample_scale: Column, lam_scale:
     el = range_events(lam, KEYS, "start_pos", "end_pos", F.col("lam").cast("decimal(28,9)"), "l").withColumn("v", F.lit(0).cast("decimal(20,0)"))
     both = step_runs(es.unionByName(el), KEYS, ["v", "l"]).filter("v > 0")
     both = both.select("chrom", "start_pos", "end_pos", (F.col("v").cast("double") * sample_scale).alias("k"), F.round(F.greatest(F.col("l").cast("double"), F.lit(0.0) if least is None else least) * lam_scale, 6).alias("lam"))
-    pairs = both.select("k", "lam").distinct().withColumn("p", F.round(poisson_p("k", "lam"), 6))
+    pairs = both.select("k", "lam").distinct().withColumn("p", poisson_p("k", "lam"))
     return both.join(pairs, ["k", "lam"]).select("chrom", "start_pos", "end_pos", "k", "lam", "p")
 
 
-def q_values(p: DataFrame, total_bp: Column | int, clip_all: bool = False) -> DataFrame:
+def q_values(p: DataFrame, total_bp: Column | int, clip_all: bool = False, step: float = 0.01) -> DataFrame:
     """p to q: p, bp, q. The rank of a p is the number of base pairs with a higher one, over all chromosomes.
 
-    The distinct p-values, rounded to six places and capped, are few however long the tracks are:
-    the global order is one over these alone. The first q is at least 0, with ``clip_all`` every one;
-    q never rises as p falls.
+    Ranks and the running minimum are worked out in stretches of ``step`` of the p-values, with one
+    summary row a stretch. The first q is at least 0, with ``clip_all`` every one; q never rises as
+    p falls. q is rounded to six places.
     """
-    per = p.groupBy("p").agg(F.sum(F.col("end_pos") - F.col("start_pos")).alias("bp"))
-    down = Window.orderBy(F.desc("p"))
-    before = F.coalesce(F.sum("bp").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    got = per.withColumn("raw", F.col("p") + F.log10(1 + before) - F.log10(F.lit(total_bp) if isinstance(total_bp, int) else total_bp))
-    got = got.withColumn("raw", F.when(F.lit(clip_all) | (F.row_number().over(down) == 1), F.greatest("raw", F.lit(0.0))).otherwise(F.col("raw")))
-    return got.select("p", "bp", F.round(F.min("raw").over(down.rowsBetween(Window.unboundedPreceding, 0)), 6).alias("q"))
+    per = p.groupBy("p").agg(F.sum(F.col("end_pos") - F.col("start_pos")).alias("bp")).withColumn("down", -F.col("p"))
+    got = scan(sharded(cut(per), [], "down", step), [], "down", sums={"upto": "bp"})
+    before = F.col("upto") - F.col("bp")
+    total = F.lit(total_bp) if isinstance(total_bp, int) else total_bp
+    raw = F.col("p") + F.log10(1 + before) - F.log10(total)
+    got = got.select("p", "bp", "down", F.when(F.lit(clip_all) | (before == 0), F.greatest(raw, F.lit(0.0))).otherwise(raw).alias("raw"))
+    got = scan(sharded(cut(got), [], "down", step), [], "down", mins={"q": "raw"})
+    return got.select("p", "bp", F.round("q", 6).alias("q"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathtide.operators.graph import blocks, components, extend_reads, linear_map, path_positions
-from pathtide.operators.joins import overlap_join
+from pathtide.operators.joins import attach, overlap_join
 from pathtide.operators.segments import fill_holes, internal_fill, max_paths, peak_scores, segment_scores, segments
 from pathtide.operators.stats import background, p_track, q_values
 from pathtide.operators.tracks import coalesce_runs, coverage, threshold
@@ -19,11 +19,6 @@ EXTENSION, FRAGMENT, SCALES, Q_CUTOFF, HOLE = 60, 200, [200, 1000, 10000], 0.05,
 LEVEL = 1.301029995663981  # -log10(Q_CUTOFF)
 
 
-def _coarse(places: int) -> Column:
-    """p to so many places, half up, in plain arithmetic that is alike everywhere."""
-    return F.floor(F.col("p") * 10**places + 0.5) / 10**places
-
-
 def _ends(own: DataFrame) -> DataFrame:
     """Where forward reads end: read_id, node_id, offset."""
     return own.filter("i = n - 1 and node > 0").select("read_id", "node_id", F.col("hi").alias("offset"))
@@ -88,34 +83,34 @@ def linear_positions(spark: SparkSession, d: str) -> DataFrame:
     return got.select("read_id", "chrom", (F.col("lin_start") + F.col("offset") * (F.col("lin_end") - F.col("lin_start")) / F.col("size")).alias("position"))
 
 
-def _least_background(spark: SparkSession, d: str) -> float:
-    """Reads * fragment / length of the linear paths: one number of each table."""
-    n = linear(spark, d).count()
-    bp = nodes(spark, d).filter("path_offset is not null").agg(F.sum("size")).first()[0]
-    return n * FRAGMENT / bp if bp else 0.0
+def _linear_stretches(spark: SparkSession, d: str) -> tuple[DataFrame, float]:
+    """The linear peaks' stretches, written once, and the least background: their number * fragment / length of the linear paths."""
+    own = cut(linear(spark, d).select("chrom", "a", "b"))
+    return own, own.count() * FRAGMENT / _path_bp(spark, d)
 
 
 def background_linear(spark: SparkSession, d: str) -> DataFrame:
     """Multi-scale background of the linear peaks' starts on the linear axis."""
-    got = background(linear(spark, d).select("chrom", F.col("a").alias("at")), FRAGMENT, SCALES, F.lit(_least_background(spark, d)))
+    own, least = _linear_stretches(spark, d)
+    got = background(own.select("chrom", F.col("a").alias("at")), FRAGMENT, SCALES, F.lit(least))
     return got.select("chrom", "start_pos", "end_pos", F.round("lam", 6).alias("lam"))
 
 
 def _linear_p(spark: SparkSession, d: str) -> DataFrame:
-    starts = linear(spark, d).select("chrom", F.col("a").alias("at"))
+    own, least = _linear_stretches(spark, d)
     # The sample against the wide scale of itself, as without a control.
-    lam = background(starts, FRAGMENT, SCALES[-1:], F.lit(_least_background(spark, d))).withColumn("lam", F.round("lam", 6))
-    return cut(p_track(coverage(linear(spark, d), ["chrom"], "a", "b"), lam, F.lit(1.0), F.lit(1.0)))
+    lam = background(own.select("chrom", F.col("a").alias("at")), FRAGMENT, SCALES[-1:], F.lit(least)).withColumn("lam", F.round("lam", 6))
+    return cut(p_track(coverage(own, ["chrom"], "a", "b"), lam, F.lit(1.0), F.lit(1.0)))
 
 
 def p_values(spark: SparkSession, d: str) -> DataFrame:
     """p-values of the linear coverage over its background."""
-    return _linear_p(spark, d).select("chrom", "start_pos", "end_pos", "k", "lam", "p")
+    return _linear_p(spark, d).select("chrom", "start_pos", "end_pos", "k", "lam", F.round("p", 6).alias("p"))
 
 
 def p_histogram(spark: SparkSession, d: str) -> DataFrame:
-    """Base pairs of each p-value, to three places."""
-    return _linear_p(spark, d).groupBy(_coarse(3).alias("p")).agg(F.sum(F.col("end_pos") - F.col("start_pos")).alias("bp"))
+    """Base pairs of each p-value, shown to six places."""
+    return _linear_p(spark, d).groupBy(F.round("p", 6).alias("p")).agg(F.sum(F.col("end_pos") - F.col("start_pos")).alias("bp"))
 
 
 def _path_bp(spark: SparkSession, d: str) -> int:
@@ -124,14 +119,18 @@ def _path_bp(spark: SparkSession, d: str) -> int:
 
 def q_mapping(spark: SparkSession, d: str) -> DataFrame:
     """The q-value of every p-value, over all chromosomes."""
-    return q_values(_linear_p(spark, d).withColumn("p", _coarse(4)), _path_bp(spark, d))
+    return q_values(_linear_p(spark, d), _path_bp(spark, d)).withColumn("p", F.round("p", 6))
+
+
+def _with_q(p: DataFrame, total_bp: int) -> DataFrame:
+    """chrom, start_pos, end_pos, value: the q-value of each run; a p that very many runs share is joined in parts."""
+    q = cut(q_values(p, total_bp).select("p", F.col("q").alias("value")))
+    return attach(p.select("chrom", "start_pos", "end_pos", "p"), q, ["p"], ["chrom", "start_pos"]).drop("p")
 
 
 def q_track(spark: SparkSession, d: str) -> DataFrame:
     """q-values along the linear axis; touching runs of one q are merged."""
-    p = cut(_linear_p(spark, d).withColumn("p", _coarse(4)))
-    got = p.join(q_values(p, _path_bp(spark, d)).select("p", "q"), "p")
-    return coalesce_runs(got.select("chrom", "start_pos", "end_pos", F.col("q").alias("value")), ["chrom"]).withColumnRenamed("value", "q")
+    return coalesce_runs(_with_q(_linear_p(spark, d), _path_bp(spark, d)), ["chrom"]).withColumnRenamed("value", "q")
 
 
 def significant_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -176,8 +175,8 @@ def called_peaks(spark: SparkSession, d: str) -> DataFrame:
     touched = _touched(ranges, graph)
     lam, least = _background_on_graph(own, graph, links, touched)
     sample, lam = cut(coverage(ranges, ["chrom"], "a", "b")), cut(lam)
-    p = cut(p_track(sample, lam, F.lit(1.0), F.lit(1.0), F.lit(least)).withColumn("p", _coarse(4)))
-    q = cut(p.join(q_values(p, graph.agg(F.sum("size")).first()[0] or 1).select("p", "q"), "p").select("chrom", "start_pos", "end_pos", F.col("q").alias("value")))
+    p = cut(p_track(sample, lam, F.lit(1.0), F.lit(1.0), F.lit(least)))
+    q = cut(_with_q(p, graph.agg(F.sum("size")).first()[0] or 1))
     filled = cut(fill_holes(cut(threshold(q, ["chrom"], LEVEL)), graph, links, touched, HOLE))
     direct = cut(coverage(own, ["chrom"], "a", "b"))
     peaks = cut(max_paths(filled, graph, links, direct).withColumn("id", F.xxhash64("region_paths", "start_off")))
@@ -280,8 +279,8 @@ pairs AS (SELECT DISTINCT k, lam, CAST(k AS BIGINT) AS ki FROM pos),
 tail AS (SELECT k, lam, CASE WHEN k >= lam THEN -(list_max(list_transform(range(ki + 1, ki + 200), lambda i: -lam + i * ln(lam) - lgamma(i + 1)))
     + ln(list_sum(list_transform(range(ki + 1, ki + 200), lambda i: exp((-lam + i * ln(lam) - lgamma(i + 1)) - (-lam + (ki + 1) * ln(lam) - lgamma(ki + 2))))))) / ln(10)
   ELSE -log10(1 - list_sum(list_transform(range(0, ki + 1), lambda i: exp(-lam + i * ln(lam) - lgamma(i + 1))))) END AS raw FROM pairs),
-pv AS (SELECT chrom, start_pos, end_pos, pos.k, pos.lam, round(least(1000.0, raw), 6) AS p FROM pos JOIN tail ON pos.k = tail.k AND pos.lam = tail.lam)"""
-_Q = _P + """, pr AS (SELECT chrom, start_pos, end_pos, floor(p * 10000 + 0.5) / 10000 AS p FROM pv),
+pv AS (SELECT chrom, start_pos, end_pos, pos.k, pos.lam, least(1000.0, raw) AS p FROM pos JOIN tail ON pos.k = tail.k AND pos.lam = tail.lam)"""
+_Q = _P + """, pr AS (SELECT chrom, start_pos, end_pos, p FROM pv),
 per AS (SELECT p, CAST(sum(end_pos - start_pos) AS BIGINT) AS bp FROM pr GROUP BY p),
 raw AS (SELECT p, bp, row_number() OVER (ORDER BY p DESC) AS place, p + log10(1 + coalesce(sum(bp) OVER (ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   - log10((SELECT sum(node_size) FROM nodes WHERE path_offset IS NOT NULL)) AS q FROM per),
@@ -300,9 +299,9 @@ SELECT chrom, block, count(*) AS n_nodes, CAST(sum(node_size) AS BIGINT) AS bp,
   UNION ALL SELECT x.chrom, x.node_index + coalesce(s.hi, 0), x.node_index + reach FROM fx JOIN nodes x USING (node_id) LEFT JOIN steps s ON s.read_id = fx.read_id AND s.node_id = fx.node_id AND s.i = s.n - 1 AND s.node > 0
   UNION ALL SELECT x.chrom, x.node_index + node_size - reach, x.node_index + node_size - coalesce(s.size - s.lo, 0) FROM bx JOIN nodes x USING (node_id) LEFT JOIN steps s ON s.read_id = bx.read_id AND s.node_id = bx.node_id AND s.i = s.n - 1 AND s.node < 0), """ + runs_sql("pile", "ext") + " SELECT * FROM pile",
     "background_linear": "WITH " + LINEAR + ", " + _lam_sql("bg", SCALES) + " SELECT * FROM bg",
-    "p_values": _P + " SELECT * FROM pv",
-    "p_histogram": _P + " SELECT floor(p * 1000 + 0.5) / 1000 AS p, CAST(sum(end_pos - start_pos) AS BIGINT) AS bp FROM pv GROUP BY 1",
-    "q_mapping": _Q + " SELECT * FROM qm",
+    "p_values": _P + " SELECT * REPLACE (round(p, 6) AS p) FROM pv",
+    "p_histogram": _P + " SELECT round(p, 6) AS p, CAST(sum(end_pos - start_pos) AS BIGINT) AS bp FROM pv GROUP BY 1",
+    "q_mapping": _Q + " SELECT * REPLACE (round(p, 6) AS p) FROM qm",
     "q_track": _Q + " SELECT * FROM qt",
     "significant_runs": _Q + f", hi AS (SELECT chrom, start_pos, end_pos, true AS value FROM qt WHERE q >= {LEVEL}), " + islands_sql("sig", "hi") + " SELECT chrom, start_pos, end_pos FROM sig",
     "segment_classes": _ACTIVE + _SEG + " SELECT chrom, node_id, a, b, kind FROM kinds",

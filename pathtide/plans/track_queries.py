@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pathtide.operators.joins import asof_join
 from pathtide.operators.scan import scan, sharded
-from pathtide.operators.tracks import coalesce_runs, coverage, merge_tracks, range_events, step_runs, threshold, track_totals
+from pathtide.operators.tracks import coalesce_runs, coverage, range_events, step_runs, threshold, track_totals
 from pathtide.plans.base import EDGES, LINEAR, READS, STEPS, edges, islands_sql, linear, nodes, reads, runs_sql, steps
 
 #: Least coverage of a significant run.
@@ -38,14 +38,21 @@ def linear_pileup(spark: SparkSession, d: str) -> DataFrame:
     return coverage(linear(spark, d), ["chrom"], "a", "b")
 
 
+def _strand_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs with both strands' coverage, va and vb, of one pass over the steps."""
+    s = steps(spark, d).filter("a < b").select("chrom", "a", "b", (F.col("node") > 0).cast("int").alias("f"))
+    ends = F.array(*[F.struct(F.col(c).alias("idx"), (F.col("f") * k).alias("va"), ((1 - F.col("f")) * k).alias("vb")) for c, k in (("a", 1), ("b", -1))])
+    return step_runs(s.select("chrom", F.inline(ends)), ["chrom"], ["va", "vb"]).filter("va <> 0 or vb <> 0")
+
+
 def merged_strands(spark: SparkSession, d: str) -> DataFrame:
     """Forward minus reverse coverage: a binary function over two tracks."""
-    return merge_tracks(*_strand_tracks(spark, d), ["chrom"], lambda a, b: a - b)
+    return coalesce_runs(_strand_runs(spark, d).withColumn("value", F.col("va") - F.col("vb")), ["chrom"])
 
 
 def track_maximum(spark: SparkSession, d: str) -> DataFrame:
     """Pointwise maximum of forward and reverse coverage."""
-    return merge_tracks(*_strand_tracks(spark, d), ["chrom"], F.greatest)
+    return coalesce_runs(_strand_runs(spark, d).withColumn("value", F.greatest("va", "vb")), ["chrom"])
 
 
 def scaled_tracks(spark: SparkSession, d: str) -> DataFrame:

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pathtide.operators.scan import scan, sharded
+
 #: The place of the score in a line, by layout.
 SCORE_FIELD = {"narrowpeak": 8, "bed6": 4}
 #: Lines that begin so hold no data.
@@ -22,6 +24,8 @@ NO_DATA = ("#", "track", "browser")
 _DIGITS = re.compile(r"[0-9]+\Z")
 _DECIMAL = re.compile(r"(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\Z")
 _LONG_MAX = 2**63 - 1
+# A field is as long as its line.
+csv.field_size_limit(2**31 - 1)
 _FIELDS = "line_id long, run_id long, line_no int, reason string, chromosome string, start_pos long, end_pos long, name string, strand string, score double"
 
 
@@ -45,10 +49,7 @@ def _split(line: str) -> list[str]:
         swap = {"\r": next(free), "\n": next(free)}
         for a, b in swap.items():
             line = line.replace(a, b)
-    if '"' in line:
-        fields = next(csv.reader([line], delimiter="\t", strict=True))
-    else:
-        fields = line.split("\t")
+    fields = next(csv.reader([line], delimiter="\t", strict=True))
     for a, b in swap.items():
         fields = [f.replace(b, a) for f in fields]
     return fields
@@ -95,7 +96,6 @@ def parse_line(line: str | None, n_columns: int | None, score_field: int | None)
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    csv.field_size_limit(2**31 - 1)
     names = ["reason", "chromosome", "start_pos", "end_pos", "name", "strand", "score"]
     for pdf in batches:
         keep, out = [], []
@@ -110,6 +110,23 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat([head, done], axis=1)
 
 
+def assemble_records(lines: DataFrame, file: str, order: str, text: str, width: int = 1 << 14) -> DataFrame:
+    """Records of files in which a quoted field may go on in the next line: ``file``, ``order`` (of the first line), ``text``.
+
+    A line begins a record if the file's lines before it hold an even number of double quotes. They
+    are counted along each file in stretches of ``width`` line numbers, which must be unique in a
+    file, so that no file is one task's work. A quote that is never closed takes in the rest of its
+    file. Rows with a null file, order or text are left out.
+    """
+    own = lines.select(F.col(file).alias("f"), F.col(order).alias("o"), F.col(text).alias("t")).dropna()
+    own = own.withColumn("quotes", F.length("t") - F.length(F.replace("t", F.lit('"'))))
+    own = scan(sharded(own, ["f"], "o", width), ["f"], "o", sums={"upto": "quotes"})
+    begins = own.withColumn("head", ((F.col("upto") - F.col("quotes")) % 2 == 0).cast("int")).drop("shard")
+    numbered = scan(sharded(begins, ["f"], "o", width), ["f"], "o", sums={"record": "head"})
+    got = numbered.groupBy("f", "record").agg(F.min("o").alias(order), F.array_sort(F.collect_list(F.struct("o", "t"))).alias("p"))
+    return got.select(F.col("f").alias(file), order, F.array_join(F.transform("p", lambda x: x.t), "\n").alias(text))
+
+
 def parse_lines(lines: DataFrame, layouts: DataFrame) -> DataFrame:
     """Every data line of ``lines``, typed, or with the reason why it can't be.
 
@@ -117,7 +134,8 @@ def parse_lines(lines: DataFrame, layouts: DataFrame) -> DataFrame:
     n_columns. Other columns are ignored, whatever their names. Result: line_id, run_id, line_no,
     reason (null for a valid line), chromosome, start_pos, end_pos, name, strand, score (null: none).
 
-    Reasons, the first that applies: ``quoting``, ``columns``, ``start``, ``score``. A null, blank
+    Each line is one record; files whose records may span lines go through
+    :func:`assemble_records` first. Reasons, the first that applies: ``quoting``, ``columns``, ``start``, ``score``. A null, blank
     or comment line gives no row. A line whose run has no layout can't have the run's number of
     fields: ``columns``. Bounds beyond BIGINT can't be typed: ``start``. Repeated lines each give
     a row; an empty table gives an empty result.

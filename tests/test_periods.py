@@ -25,9 +25,9 @@ def brute(rows):
     return sorted(out, key=str)
 
 
-def run(spark, rows, width):
+def run(spark, rows, width, **kw):
     df = spark.createDataFrame(rows, SCHEMA)
-    got = merge_periods(df, ["k", "g"], "s", "e", "id", width=width).collect()
+    got = merge_periods(df, ["k", "g"], "s", "e", "id", width=width, **kw).collect()
     return sorted([tuple(r) for r in got], key=str)
 
 
@@ -41,6 +41,10 @@ def test_borders_nesting_and_long_intervals(spark):
     ]
     for width in (1, 10, 1000):
         assert run(spark, rows, width) == brute(rows)
+    # Crowded shards are merged in blocks first.
+    many = rows + [(100 + i, "a", "x", i * 7 % 50, i * 7 % 50 + 2, None, None) for i in range(40)] + [(100, "a", "x", 0, 2, None, None)]
+    for width in (10, 1000):
+        assert run(spark, many, width, hot=3) == brute(many)
 
 
 def test_empty(spark):

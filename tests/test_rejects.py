@@ -1,4 +1,4 @@
-from pathtide.sources.rejects import parse_line, parse_lines, split_rejects
+from pathtide.sources.rejects import assemble_records, parse_line, parse_lines, split_rejects
 
 
 def reason(line, n=10, place=8):
@@ -44,3 +44,13 @@ def test_tables(spark):
     assert sorted((r.line_id, r.reason) for r in bad.collect()) == [(3, "columns"), (4, "columns")]
     assert parse_lines(lines.limit(0), runs).count() == 0
     assert parse_lines(lines, runs.limit(0)).filter("reason = 'columns'").count() == 5
+
+
+def test_assembled_records(spark):
+    text = ['a\t"x', "y", 'z"\tb', "plain", 'q ""', '"open', "rest"]
+    rows = [("f", i, t, 0) for i, t in enumerate(text)] + [("g", 0, "one", 0), ("g", 1, None, 0), (None, 0, "x", 0)]
+    df = spark.createDataFrame(rows, "file string, line int, text string, record int")
+    for width in (1, 3, 1000):
+        got = sorted(tuple(r) for r in assemble_records(df, "file", "line", "text", width).collect())
+        assert got == [("f", 0, 'a\t"x\ny\nz"\tb'), ("f", 3, "plain"), ("f", 4, 'q ""'), ("f", 5, '"open\nrest'), ("g", 0, "one")]
+    assert assemble_records(df.limit(0), "file", "line", "text").count() == 0
