@@ -11,21 +11,6 @@ from pathtide.session import cut, sized_broadcast
 PART = 4096
 
 
-def attach(members: DataFrame, table: DataFrame, key: list[str], by: list[str]) -> DataFrame:
-    """``members`` with the columns of ``table``, which has one row a key; members without one are left out.
-
-    The members of a key with more than ``PART`` of them are divided by their columns ``by``, and the
-    key's row goes to every part.
-    """
-    hot = members.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > PART).withColumn("_parts", F.ceil(F.col("_n") / PART)).drop("_n")
-    hot = cut(hot)
-    hot = sized_broadcast(hot, hot.count())
-    parts = F.coalesce("_parts", F.lit(1))
-    left = members.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(*by), parts)).drop("_parts")
-    right = table.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
-    return left.join(right, [*key, "_part"]).drop("_part")
-
-
 def members_of_links(links: DataFrame, left: DataFrame, right: DataFrame, key: list[str], item: str) -> DataFrame:
     """``links`` with the members of both classes: the other columns of links, id_a, id_b.
 

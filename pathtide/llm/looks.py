@@ -20,7 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathtide.llm.classes import attach, members_of_links
+from pathtide.llm.classes import members_of_links
+from pathtide.operators.joins import attach
 from pathtide.session import cut, sized_broadcast
 
 # Letters of equal look in Latin, Cyrillic and Greek; "-" where a script has none.

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathtide.llm.classes import members_of_links
+from pathtide.operators.joins import attach
 from pathtide.session import cut, sized_broadcast
 
 #: Classes a bucket may hold before it is divided.
@@ -296,4 +297,4 @@ def class_links(records: DataFrame, links: DataFrame) -> DataFrame:
     far = _both_ways(links).join(classes.select(F.col("c1").alias("b1"), F.col("c2").alias("b2"), "members"), ["b1", "b2"])
     far = far.groupBy(F.col("a1").alias("c1"), F.col("a2").alias("c2")).agg(F.sum("members").alias("far"))
     known = classes.join(far, ["c1", "c2"], "left").select("c1", "c2", "class_id", (F.col("members") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
-    return members.join(known, ["c1", "c2"]).select("id", "class_id", "n_links")
+    return attach(members, known, ["c1", "c2"], ["id"]).select("id", "class_id", "n_links")

@@ -2,7 +2,9 @@
 
 Each item has an order-preserving code of its score and identifier. Every pass counts, for all open
 groups together, the rows above a set of midpoints, keeps the one stretch the cutoff lies in, and
-goes on with the rows of that stretch only. No group is ever gathered in one task.
+goes on with the rows of that stretch only. A group's state goes to its rows as a broadcast of
+counted size, or else to every part of the rows, which are divided by their item: no group is ever
+gathered in one task.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from pathtide.session import cut, sized_broadcast
 
 #: Stretches a pass divides each open group's range into.
 STRETCHES = 64
+#: Groups whose state is broadcast, and the parts of a group's rows where it is not.
+BROADCAST, PARTS = 100_000, 32
 _LEVELS = ["v0", "v1", "v2", "v3"]
 
 
@@ -65,7 +69,16 @@ def _open_at(lows: list[Column], highs: list[Column]) -> Column:
     return out
 
 
-def top_n(df: DataFrame, group: list[str], score: str, item: str, n: int, stretches: int = STRETCHES) -> DataFrame:
+def _told(rows: DataFrame, state: DataFrame, gs: list[str], n_groups: int, few: int, how: str = "inner") -> DataFrame:
+    """``rows`` with their group's row of ``state``."""
+    if n_groups <= few:
+        return rows.join(sized_broadcast(state, n_groups, few), gs, how)
+    parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
+    divided = rows.withColumn("part", F.pmod(F.xxhash64("i"), F.lit(PARTS)).cast("int"))
+    return divided.join(state.withColumn("part", parts), [*gs, "part"], how).drop("part")
+
+
+def top_n(df: DataFrame, group: list[str], score: str, item: str, n: int, stretches: int = STRETCHES, few: int = BROADCAST) -> DataFrame:
     """The ``n`` items with the highest ``score`` of each group; on ties the lower ``item`` comes first.
 
     Result: the group columns and the item, unordered; a group with fewer items keeps them all.
@@ -89,7 +102,7 @@ def top_n(df: DataFrame, group: list[str], score: str, item: str, n: int, stretc
         step = F.expr(f"(w + {stretches} - 1) div {stretches}")
         asked = state.select(*gs, "need", level.alias("level"), lo.alias("lo"), (hi - lo + 1).alias("w"), *lows[:3]).withColumn("step", step)
         asked = asked.withColumnsRenamed({f"lo{k}": f"p{k}" for k in range(3)})
-        placed = open_rows.join(sized_broadcast(asked, left), gs)
+        placed = _told(open_rows, asked, gs, left, few)
         placed = placed.withColumn("digit", F.floor((_at(F.col("level"), [F.col(v) for v in _LEVELS]) - F.col("lo")) / F.col("step")))
         counts = placed.groupBy(*gs, "digit").agg(F.count(F.lit(1)).alias("n_rows"), F.first("need").alias("need"), F.first("level").alias("level"), F.first(F.col("lo") + F.col("digit") * F.col("step")).alias("edge"), *_bounds())
         above = F.sum("n_rows").over(Window.partitionBy(*gs).orderBy(F.desc("digit")).rowsBetween(Window.unboundedPreceding, -1))
@@ -105,13 +118,13 @@ def top_n(df: DataFrame, group: list[str], score: str, item: str, n: int, stretc
             inside = F.lit(True)
             for k, v in enumerate(_LEVELS):
                 inside = inside & F.col(v).between(lows[k], highs[k])
-            open_rows = cut(open_rows.join(sized_broadcast(state.drop("need"), left), gs).filter(inside).select(*gs, "i", *_LEVELS))
+            open_rows = cut(_told(open_rows, state.drop("need"), gs, left, few).filter(inside).select(*gs, "i", *_LEVELS))
     if not done:
         return rows.select(*names, F.col("i").alias(item))
     cuts = done[0]
     for d in done[1:]:
         cuts = cuts.unionByName(d)
     cuts = cut(cuts)
-    kept = rows.join(sized_broadcast(cuts, cuts.count()), gs, "left")
+    kept = _told(rows, cuts, gs, cuts.count(), few, "left")
     code, bar = F.struct(*_LEVELS), F.struct(*[F.coalesce(F.col(f"k{k}"), F.lit(0)).cast("long").alias(v) for k, v in enumerate(_LEVELS)])
     return kept.filter(code >= bar).select(*names, F.col("i").alias(item))

@@ -33,6 +33,7 @@ def test_ties_signs_and_odd_values(spark):
     rows += [(None, 1, 1.0, 1, "x", None, 1), ("c", None, 1.0, 1, "x", None, 1), ("c", 1, 1.0, None, "x", None, 1), ("c", 1, 2.0, 2**62, "x", None, 1), ("c", 1, 2.0, -(2**62), "x", None, 1)]
     for n in (1, 3, 9):
         assert run(spark, rows, n, stretches=4) == brute(rows, n)
+    assert run(spark, rows, 3, few=0) == brute(rows, 3)  # no state is broadcast
     assert run(spark, [], 3) == set() == run(spark, rows, 0)
 
 
