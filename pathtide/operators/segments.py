@@ -18,10 +18,6 @@ from pathtide.operators.joins import overlap_join
 from pathtide.operators.tracks import coalesce_runs, merge_tracks
 from pathtide.session import cut
 
-#: Components of more hole segments than this are left unfilled.
-MOST_HOLES = 36
-
-
 def segments(runs: DataFrame, nodes: DataFrame) -> DataFrame:
     """chrom, node_id, size, node_index, a, b (flat), kind, for every run and node that overlap."""
     own = nodes.select("chrom", "node_id", "size", "node_index", (F.col("node_index") + F.col("size")).alias("node_end"))
@@ -88,13 +84,13 @@ def _hole_needs(longest: int):
     return run
 
 
-def fill_holes(runs: DataFrame, nodes: DataFrame, edges: DataFrame, touched: DataFrame, longest: int) -> DataFrame:
+def fill_holes(runs: DataFrame, nodes: DataFrame, edges: DataFrame, touched: DataFrame, longest: int, most: int | None = None) -> DataFrame:
     """``runs`` with small holes filled, also those that go over node borders.
 
     A hole inside a node is filled if it is no longer than ``longest``. A hole at a border is filled
     if some way through it, from the end of a run to the start of one, is that short. Not filled are
     holes at the graph's own ends, whole nodes that are not in ``touched`` (chrom, node_id), what
-    follows the last run, and components of more than ``MOST_HOLES`` segments or without an entry.
+    follows the last run, and components without an entry - or, with ``most``, of more segments.
     """
     holes = cut(segments(holes_between(runs, nodes), nodes))
     inner = holes.filter((F.col("kind") == "internal") & (F.col("b") - F.col("a") <= longest))
@@ -119,9 +115,10 @@ def fill_holes(runs: DataFrame, nodes: DataFrame, edges: DataFrame, touched: Dat
     parts = components(border.select("id"), links.select(F.col("u").alias("a"), F.col("v").alias("b")))
     succ = links.groupBy(F.col("u").alias("id")).agg(F.collect_set("v").alias("succ"))
     ready = ready.join(parts, "id").join(succ, "id", "left").withColumn("succ", F.coalesce("succ", F.array().cast("array<bigint>")))
-    sizes = ready.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    small = ready.join(sizes.filter(F.col("n") <= MOST_HOLES), "component", "left_semi")
-    grouped = small.groupBy("component").agg(F.collect_list(F.struct("id", "len", "entry", "exit", "succ")).alias("members"))
+    if most is not None:
+        sizes = ready.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+        ready = ready.join(sizes.filter(F.col("n") <= most), "component", "left_semi")
+    grouped = ready.groupBy("component").agg(F.collect_list(F.struct("id", "len", "entry", "exit", "succ")).alias("members"))
     filled = border.join(cut(grouped).mapInPandas(_hole_needs(longest), "id long"), "id", "left_semi")
     add = inner.select("chrom", "a", "b").unionByName(filled.select("chrom", "a", "b"))
     both = runs.select("chrom", "start_pos", "end_pos").unionByName(add.select("chrom", F.col("a").alias("start_pos"), F.col("b").alias("end_pos")))

@@ -11,6 +11,7 @@ from pathtide.operators.segments import fill_holes, internal_fill, max_paths, pe
 from pathtide.operators.stats import background, p_track, q_values
 from pathtide.operators.tracks import coalesce_runs, coverage, threshold
 from pathtide.plans.base import EDGES, LINEAR, STEPS, edges, islands_sql, linear, nodes, reads, runs_sql, steps
+from pathtide.plans.graph_sql import LMAP, called_sql, graph_background_sql, holes_sql, paths_sql
 from pathtide.plans.track_queries import CUTOFF
 from pathtide.session import cut
 
@@ -287,6 +288,12 @@ raw AS (SELECT p, bp, row_number() OVER (ORDER BY p DESC) AS place, p + log10(1
 qm AS (SELECT p, bp, round(min(CASE WHEN place = 1 THEN greatest(q, 0) ELSE q END) OVER (ORDER BY p DESC), 6) AS q FROM raw),
 qr AS (SELECT chrom, start_pos, end_pos, q FROM pr JOIN qm USING (p)), """ + islands_sql("qt", "qr", "chrom", "q")
 
+_EXT = """ext AS (SELECT chrom, a, b FROM steps
+  UNION ALL SELECT x.chrom, x.node_index + coalesce(s.hi, 0), x.node_index + reach FROM fx JOIN nodes x USING (node_id) LEFT JOIN steps s ON s.read_id = fx.read_id AND s.node_id = fx.node_id AND s.i = s.n - 1 AND s.node > 0
+  UNION ALL SELECT x.chrom, x.node_index + node_size - reach, x.node_index + node_size - coalesce(s.size - s.lo, 0) FROM bx JOIN nodes x USING (node_id) LEFT JOIN steps s ON s.read_id = bx.read_id AND s.node_id = bx.node_id AND s.i = s.n - 1 AND s.node < 0)"""
+_LAM_G = _R + _FLOW + ", " + _EXT + ", " + LMAP + ", " + graph_background_sql(FRAGMENT, SCALES[-1])
+_ACT = _R + STEPS + ", " + EDGES + ", " + runs_sql("cover", "steps") + f", high AS (SELECT chrom, start_pos, end_pos, true AS value FROM cover WHERE value >= {CUTOFF}), " + islands_sql("act", "high")
+
 SQL = {
     "graph_blocks": "WITH " + EDGES + """, o AS (SELECT src AS node_id, max(dst) AS far FROM edge GROUP BY src),
 c AS (SELECT chrom, node_id, node_size, CASE WHEN coalesce(max(far) OVER (PARTITION BY chrom ORDER BY node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) <= node_id THEN 1 ELSE 0 END AS is_cut
@@ -295,9 +302,14 @@ b AS (SELECT *, CAST(sum(is_cut) OVER (PARTITION BY chrom ORDER BY node_id) AS B
 SELECT chrom, block, count(*) AS n_nodes, CAST(sum(node_size) AS BIGINT) AS bp, min(node_id) AS first_node FROM b GROUP BY chrom, block""",
     "read_extension": _R + _FLOW + " SELECT * FROM fx",
     "read_extension_reverse": _R + _FLOW + " SELECT * FROM bx",
-    "sample_pileup": _R + _FLOW + """, ext AS (SELECT chrom, a, b FROM steps
-  UNION ALL SELECT x.chrom, x.node_index + coalesce(s.hi, 0), x.node_index + reach FROM fx JOIN nodes x USING (node_id) LEFT JOIN steps s ON s.read_id = fx.read_id AND s.node_id = fx.node_id AND s.i = s.n - 1 AND s.node > 0
-  UNION ALL SELECT x.chrom, x.node_index + node_size - reach, x.node_index + node_size - coalesce(s.size - s.lo, 0) FROM bx JOIN nodes x USING (node_id) LEFT JOIN steps s ON s.read_id = bx.read_id AND s.node_id = bx.node_id AND s.i = s.n - 1 AND s.node < 0), """ + runs_sql("pile", "ext") + " SELECT * FROM pile",
+    "sample_pileup": _R + _FLOW + ", " + _EXT + ", " + runs_sql("pile", "ext") + " SELECT * FROM pile",
+    "graph_linear_map": _R + EDGES + ", " + LMAP + " SELECT * FROM lmap",
+    "linear_positions": _R + STEPS + ", " + EDGES + ", " + LMAP + """ SELECT read_id, s.chrom, lin_start + CASE WHEN node > 0 THEN lo ELSE hi END * CAST(lin_end - lin_start AS DOUBLE) / s.size AS position
+FROM steps s JOIN lmap m ON m.node_id = s.node_id WHERE i = 0""",
+    "background_to_graph": _LAM_G + " SELECT * FROM lam_g",
+    "hole_cleaning": _ACT + ", " + holes_sql("filled", "act", "steps", HOLE) + " SELECT chrom, start_pos, end_pos FROM filled",
+    "region_paths": _ACT + ", " + paths_sql("best", "act", "cover") + " SELECT * FROM best",
+    "called_peaks": _LAM_G + ", " + runs_sql("pile", "ext") + ", " + runs_sql("cover", "steps") + ", " + called_sql(EXTENSION, LEVEL, HOLE) + " SELECT * FROM called",
     "background_linear": "WITH " + LINEAR + ", " + _lam_sql("bg", SCALES) + " SELECT * FROM bg",
     "p_values": _P + " SELECT * REPLACE (round(p, 6) AS p) FROM pv",
     "p_histogram": _P + " SELECT round(p, 6) AS p, CAST(sum(end_pos - start_pos) AS BIGINT) AS bp FROM pv GROUP BY 1",

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pathtide.operators.scan import ranked
+
 #: The fields of a peak's JSON line.
 PEAK_JSON = "start int, end int, region_paths array<bigint>, direction int, average_q_value double, unique_id string, is_ambigous int, is_diff int, chromosome string"
 LINEAR_JSON = "chromosome string, start bigint, end bigint, score double"
@@ -77,11 +79,28 @@ def read_bed(spark: SparkSession, path: str, cut_around_summit: int | None = Non
 
 
 def write_bed(peaks: DataFrame, path: str) -> None:
-    """chromosome, start, end, name and dots, score with two places."""
-    line = F.concat_ws("\t", "chromosome", F.col("start_pos").cast("string"), F.col("end_pos").cast("string"), F.lit("."), F.lit("."), F.lit("."), F.lit("."), F.format_string("%.2f", "score"))
+    """chromosome, start, end, name, four dots, score with two places; a missing name is a dot, a missing score -1."""
+    name = F.coalesce("name", F.lit(".")) if "name" in peaks.columns else F.lit(".")
+    line = F.concat_ws("\t", "chromosome", F.col("start_pos").cast("string"), F.col("end_pos").cast("string"), name, *[F.lit(".")] * 4, F.format_string("%.2f", F.coalesce("score", F.lit(-1.0))))
     peaks.select(line.alias("value")).write.text(path)
 
 
+def cut_bed_around_summit(spark: SparkSession, path: str, out: str, half: int) -> None:
+    """Rewrites narrowPeak lines cut to ``half`` positions on either side of the summit, with bare chromosome names and the summit counted anew."""
+    f = _fields(spark, path).select("f")
+    get = lambda k: F.get("f", F.lit(k))
+    start, end, at = get(1).try_cast("bigint"), get(2).try_cast("bigint"), get(1).try_cast("bigint") + get(9).try_cast("bigint")
+    a, b = F.greatest(at - half, start), F.least(at + half, end)
+    line = F.concat_ws("\t", F.regexp_replace(get(0), "^chr", ""), a.cast("string"), b.cast("string"), F.array_join(F.slice("f", 4, 6), "\t"), (at - a).cast("string"))
+    f.filter(at.isNotNull() & end.isNotNull()).select(line.alias("value")).write.text(out)
+
+
+def write_projected(alignments: DataFrame, path: str) -> None:
+    """Stranded linear intervals (chrom, a, b, strand) as lines: chromosome, start, end, dot, 0, strand."""
+    line = F.concat_ws("\t", "chrom", F.col("a").cast("string"), F.col("b").cast("string"), F.lit("."), F.lit("0"), "strand")
+    alignments.select(line.alias("value")).write.text(path)
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """Records ``>id {json}`` with their sequence: name, info (the JSON text, if any), sequence.
 
@@ -123,10 +142,16 @@ def read_vcf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """Alignments of a SAM: name, flag, chromosome, pos, mapq, sequence."""
+    """Alignments of a SAM: name, flag, chromosome, pos, mapq, sequence, and the tags as a map of text."""
     got = spark.read.text(path).filter(~F.col("value").startswith("@")).select(F.split("value", "\t").alias("f"))
     f = lambda k: F.get("f", F.lit(k))
-    return got.select(f(0).alias("name"), f(1).try_cast("int").alias("flag"), f(2).alias("chromosome"), f(3).try_cast("bigint").alias("pos"), f(4).try_cast("int").alias("mapq"), f(9).alias("sequence"))
+    return got.select(f(0).alias("name"), f(1).try_cast("int").alias("flag"), f(2).alias("chromosome"), f(3).try_cast("bigint").alias("pos"), f(4).try_cast("int").alias("mapq"), f(9).alias("sequence"), _tags().alias("tags"))
+
+
+def _tags() -> Column:
+    """The fields after the eleventh, NAME:TYPE:VALUE, as NAME to VALUE."""
+    rest = F.filter(F.slice("f", 12, 2**30), lambda x: F.size(F.split(x, ":", 3)) == 3)
+    return F.map_from_entries(F.array_distinct(F.transform(rest, lambda x: F.struct(F.split(x, ":", 3)[0].alias("k"), F.split(x, ":", 3)[2].alias("v")))))
 
 
 def read_node_ranges(spark: SparkSession, path: str) -> DataFrame:
@@ -150,11 +175,112 @@ def write_interval_dict(intervals: DataFrame, path: str) -> None:
     each.select("name", "k", text.alias("value")).repartition("name").sortWithinPartitions("name", "k").select("value").write.text(path)
 
 
+def read_reads(spark: SparkSession, path: str) -> DataFrame:
+    """Reads by the path's ending: start, end, region_paths.
+
+    ``.json`` and ``.gam.json`` hold alignments, ``.intervalcollection`` and ``.jsonl`` intervals,
+    ``.parquet`` a table of these columns. Anything else is an error; so is a path that isn't there.
+    """
+    cols = ["start", "end", "region_paths"]
+    if path.endswith((".intervalcollection", ".jsonl")):
+        return read_peaks(spark, path).select(*cols)
+    if path.endswith(".json"):
+        return read_alignments(spark, path).select(*cols)
+    if path.endswith(".parquet"):
+        return spark.read.parquet(path).select(*cols)
+    raise ValueError(f"no reader for {path}")
+
+
+def read_linear_peak_fasta(spark: SparkSession, path: str) -> DataFrame:
+    """name, sequence and the linear peak's fields (chromosome, start, end, score) of a FASTA."""
+    return read_fasta(spark, path).select("name", "sequence", F.from_json("info", LINEAR_JSON).alias("p")).select("name", "sequence", "p.*")
+
+
+def write_ranked_fasta(records: DataFrame, path: str, score: str, tie: str, fields: list[str], sequence: str = "sequence") -> None:
+    """Records ``>peak<i> {json}`` numbered by falling score (then ``tie``), in that order over the files; null scores come last."""
+    best = F.coalesce(F.when(~F.isnan(score), F.col(score)), F.lit(float("-inf")))
+    placed = ranked(records.withColumn("_best", F.greatest(best, F.lit(-1e300))).withColumn("_all", F.lit(0)), ["_all"], "_best", tie, 1.0)
+    text = F.concat(F.lit(">peak"), (F.col("place") - 1).cast("string"), F.lit(" "), F.to_json(F.struct(*fields)), F.lit("\n"), F.col(sequence))
+    placed.select("place", text.alias("value")).repartitionByRange("place").sortWithinPartitions("place").select("value").write.text(path)
+
+
+def read_bedgraph(spark: SparkSession, path: str) -> DataFrame:
+    """A track: chrom, start_pos, end_pos, value."""
+    f = lambda k: F.get("f", F.lit(k))
+    got = _fields(spark, path).select(f(0).alias("chrom"), f(1).try_cast("bigint").alias("start_pos"), f(2).try_cast("bigint").alias("end_pos"), f(3).try_cast("double").alias("value"))
+    return got.filter("start_pos < end_pos and value is not null")
+
+
+def read_set_summary(spark: SparkSession, path: str) -> DataFrame:
+    """Lines ``id, (a, b, ...)``: id, numbers."""
+    text = spark.read.text(path)
+    got = text.select(F.trim(F.regexp_extract("value", "^([^,]*),", 1)).alias("id"), F.transform(F.split(F.regexp_extract("value", "\\(([^)]*)\\)", 1), ","), lambda x: F.trim(x).try_cast("double")).alias("numbers"))
+    return got.filter("id <> ''").withColumn("numbers", F.array_compact("numbers"))
+
+
+def read_diplotypes(spark: SparkSession, path: str) -> DataFrame:
+    """Tab-separated peak_id, best and second haplotype as lists of numbers in brackets, and their read counts."""
+    f = lambda k: F.get("f", F.lit(k))
+    numbers = lambda c: F.transform(F.regexp_extract_all(c, F.lit("-?[0-9]+"), 0), lambda x: x.cast("bigint"))
+    return _fields(spark, path).select(f(0).alias("peak_id"), numbers(f(1)).alias("first_path"), numbers(f(2)).alias("second_path"), f(3).try_cast("int").alias("n_first"), f(4).try_cast("int").alias("n_second"))
+
+
 def write_by_chromosome(df: DataFrame, path: str, column: str = "chromosome") -> None:
     """Parquet, one folder a chromosome, so that later scans prune."""
     df.write.partitionBy(column).parquet(path)
 
 
 def write_track(track: DataFrame, path: str) -> None:
-    """Runs of a track as parquet, sorted within chromosomes for tight row group statistics."""
-    track.repartition("chrom").sortWithinPartitions("chrom", "start_pos").write.parquet(path)
+    """Runs of a track as parquet, one folder a chromosome, sorted for tight row group statistics."""
+    track.repartition("chrom").sortWithinPartitions("chrom", "start_pos").write.partitionBy("chrom").parquet(path)
+
+
+def read_tracks(spark: SparkSession, path: str, chromosomes: list[str] | None = None) -> DataFrame:
+    """What :func:`write_track` wrote, of all chromosomes or some: whole folders are skipped. The start of a later stage."""
+    got = spark.read.option("basePath", path).parquet(path)
+    got = got.select(F.col("chrom").cast("string").alias("chrom"), *[c for c in got.columns if c != "chrom"])
+    return got if chromosomes is None else got.filter(F.col("chrom").isin(chromosomes))
+
+
+def write_linear_map(lmap: DataFrame, path: str) -> None:
+    """chrom, node_id, size, lin_start, lin_end, one folder a chromosome."""
+    lmap.select("chrom", "node_id", "size", "lin_start", "lin_end").repartition("chrom").sortWithinPartitions("node_id").write.partitionBy("chrom").parquet(path)
+
+
+read_linear_map = read_tracks
+
+
+def write_subgraphs(links: DataFrame, path: str) -> None:
+    """Edges of the peaks' sub-graphs: component, src, dst, score; one table, sorted by component so that a reader of some skips the rest."""
+    links.select("component", "src", "dst", "score").repartitionByRange("component").sortWithinPartitions("component", "src").write.parquet(path)
+
+
+def read_subgraph_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """component, n_nodes, n_edges of :func:`write_subgraphs`."""
+    own = spark.read.parquet(path)
+    ends = own.select("component", F.explode(F.array("src", "dst")).alias("node")).groupBy("component").agg(F.countDistinct("node").alias("n_nodes"))
+    return own.groupBy("component").agg(F.count(F.lit(1)).alias("n_edges")).join(ends, "component").select("component", "n_nodes", "n_edges")
+
+
+#: The columns of a comparison file.
+COMPARISON = "total_graph,total_linear,shared,unique_graph,unique_linear"
+
+
+def write_comparison(report: DataFrame, path: str) -> None:
+    """One line a row of a comparison of two peak sets: name and the counts of ``COMPARISON``."""
+    report.select("name", *COMPARISON.split(",")).write.option("header", True).csv(path)
+
+
+def read_comparisons(spark: SparkSession, path: str) -> DataFrame:
+    """The comparisons of one or more folders."""
+    return spark.read.option("header", True).schema("name string, " + ", ".join(f"{c} bigint" for c in COMPARISON.split(","))).csv(path)
+
+
+def venn_totals(comparisons: DataFrame) -> DataFrame:
+    """One row: the counts of all comparisons added up."""
+    return comparisons.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COMPARISON.split(",")])
+
+
+def write_unique_peaks(peaks: DataFrame, matched: DataFrame, path: str, item: str) -> None:
+    """The peaks that have no row in ``matched``, as JSON lines."""
+    write_peaks(peaks.join(matched.select(item).distinct(), item, "left_anti"), path)
