@@ -80,23 +80,30 @@ def extend_reads(ends: DataFrame, nodes: DataFrame, edges: DataFrame, extension:
     the node once; dead ends drop. reach is how far into the node the cover goes, from its start (on
     the first node, from the offset).
     """
+    got = extend_both_ways(ends.withColumn("way", F.lit(1)), nodes, edges, extension)
+    return got.select("read_id", "node_id", "reach")
+
+
+def extend_both_ways(ends: DataFrame, nodes: DataFrame, edges: DataFrame, extension: int) -> DataFrame:
+    """The same for reads of both strands in one walk: read_id, way, node_id, size, reach. ends also have way, 1 along the edges, -1 against them."""
     size = nodes.select("node_id", "size")
-    front = ends.join(size, "node_id").select("read_id", "node_id", (F.col("offset") + extension).alias("rem"), "size").groupBy("read_id", "node_id", "size").agg(F.max("rem").alias("rem"))
-    ways = edges.select(F.col("src").alias("node_id"), "dst").join(size.select(F.col("node_id").alias("dst"), F.col("size").alias("next_size")), "dst")
-    ways = cut(ways)
-    front = cut(front)
+    keys = ["read_id", "way", "node_id", "size"]
+    start = ends.join(size, "node_id").select("read_id", "way", "node_id", "size", (F.col("offset") + extension).alias("rem"))
+    front = cut(start.groupBy(*keys).agg(F.max("rem").alias("rem")))
+    far = edges.select(F.col("src").alias("node_id"), F.col("dst").alias("next"), F.lit(1).alias("way")).unionByName(edges.select(F.col("dst").alias("node_id"), F.col("src").alias("next"), F.lit(-1).alias("way")))
+    ways = cut(far.join(size.select(F.col("node_id").alias("next"), F.col("size").alias("next_size")), "next"))
     levels = [front]
     while True:
-        flow = front.filter(F.col("rem") > F.col("size")).join(ways, "node_id")
-        front = cut(flow.groupBy("read_id", F.col("dst").alias("node_id"), F.col("next_size").alias("size")).agg(F.max(F.col("rem") - F.col("size")).alias("rem")))
+        flow = front.filter(F.col("rem") > F.col("size")).join(ways, ["node_id", "way"])
+        front = cut(flow.groupBy("read_id", "way", F.col("next").alias("node_id"), F.col("next_size").alias("size")).agg(F.max(F.col("rem") - F.col("size")).alias("rem")))
         if front.isEmpty():
             break
         levels.append(front)
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)
-    out = out.groupBy("read_id", "node_id", "size").agg(F.max("rem").alias("rem"))
-    return out.select("read_id", "node_id", F.least("rem", "size").cast("int").alias("reach"))
+    out = out.groupBy(*keys).agg(F.max("rem").alias("rem"))
+    return out.select("read_id", "way", "node_id", "size", F.least("rem", "size").cast("int").alias("reach"))
 
 
 def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
@@ -122,11 +129,6 @@ def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("label", "component")
 
 
-def walk_blocks(own: DataFrame) -> DataFrame:
-    """Number of nodes, base pairs and longest way of every block of :func:`blocks`; a report of the graph's bubbles."""
-    return own.groupBy("chrom", "block").agg(F.count(F.lit(1)).alias("n_nodes"), F.sum("size").alias("bp"), F.min("node_id").alias("first_node"))
-
-
 def path_positions(nodes: DataFrame) -> DataFrame:
     """The linear path in order: chrom, node_id, path_offset, place (from 0), next_node."""
     path = nodes.filter("path_offset is not null").select("chrom", "node_id", "path_offset", F.lit(1).alias("one"))

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from pathtide.operators.graph import components
 from pathtide.operators.joins import overlap_join
-from pathtide.operators.tracks import coalesce_runs, merge_tracks
+from pathtide.operators.scan import scan, sharded
+from pathtide.operators.tracks import coalesce_runs
 from pathtide.session import cut
 
 def segments(runs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -39,10 +40,9 @@ def segment_scores(segs: DataFrame, track: DataFrame) -> DataFrame:
 
 def holes_between(runs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The runs between neighbouring runs of a chromosome, up to the last run, and before the first one: chrom, start_pos, end_pos."""
-    # Outside the runs on [0, end of the last run) everything is a hole.
-    ends = runs.groupBy("chrom").agg(F.max("end_pos").alias("end_pos")).select("chrom", F.lit(0).cast("long").alias("start_pos"), "end_pos", F.lit(1).alias("value"))
-    inside = merge_tracks(ends, runs.select("chrom", "start_pos", "end_pos", F.lit(1).alias("value")), ["chrom"], lambda a, b: a - b)
-    return inside.filter("value = 1").drop("value")
+    own = sharded(runs.select("chrom", "start_pos", "end_pos"), ["chrom"], "start_pos")
+    own = scan(own, ["chrom"], "start_pos", before={"before": "end_pos"})
+    return own.select("chrom", F.coalesce("before", F.lit(0)).alias("a"), F.col("start_pos").alias("b")).filter("a < b").select("chrom", F.col("a").alias("start_pos"), F.col("b").alias("end_pos"))
 
 
 def internal_fill(runs: DataFrame, nodes: DataFrame, longest: int) -> DataFrame:
@@ -102,7 +102,9 @@ def fill_holes(runs: DataFrame, nodes: DataFrame, edges: DataFrame, touched: Dat
     has_out, has_in = edges.select(F.col("src").alias("node_id")).distinct().withColumn("out", F.lit(True)), edges.select(F.col("dst").alias("node_id")).distinct().withColumn("into", F.lit(True))
     border = border.join(has_out, "node_id", "left").join(has_in, "node_id", "left")
     stuck = (F.col("kind").isin("end", "full") & F.col("out").isNull()) | (F.col("kind").isin("start", "full") & F.col("into").isNull()) | ((F.col("kind") == "full") & F.col("seen").isNull())
-    border = cut(border.filter(~F.coalesce(stuck, F.lit(False))).select("chrom", "id", "node_id", "a", "b", "kind", (F.col("b") - F.col("a")).alias("len")))
+    border = border.filter(~F.coalesce(stuck, F.lit(False))).select("chrom", "id", "node_id", "a", "b", "kind", (F.col("b") - F.col("a")).alias("len"))
+    # No short way goes through a long segment: without these the components are small.
+    border = cut(border if most is not None else border.filter(F.col("len") <= longest))
     links = cut(_links(border, edges))
     # A way may begin at a run that touches its node's end, and stop at one that touches its node's start.
     ends_active = active.filter(F.col("kind").isin("full", "end")).select(F.col("node_id").alias("src")).join(seen.withColumnRenamed("node_id", "src"), "src").distinct()

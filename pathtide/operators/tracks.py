@@ -37,13 +37,16 @@ def step_runs(events: DataFrame, keys: list[str], values: list[str], width: int
 def coalesce_runs(runs: DataFrame, keys: list[str], value: str = "value", width: int = SHARD_WIDTH) -> DataFrame:
     """Merges touching runs of equal value; gaps between runs stay gaps."""
     # Each scan reads its input twice, so what comes before it is written once.
-    own = sharded(cut(runs.select(*keys, "start_pos", "end_pos", value)), keys, "start_pos", width)
-    own = scan(own, keys, "start_pos", before={"_pe": "end_pos", "_pv": value})
+    own = cut(runs.select(*keys, "start_pos", "end_pos", value))
+    marked = scan(sharded(own, keys, "start_pos", width), keys, "start_pos", before={"_pe": "end_pos", "_pv": value})
     head = F.col("_pe").isNull() | (F.col("_pe") < F.col("start_pos")) | ~F.col("_pv").eqNullSafe(F.col(value))
-    own = cut(own.withColumn("_head", head.cast("int")).drop("shard", "_pe", "_pv"))
-    own = scan(sharded(own, keys, "start_pos", width), keys, "start_pos", sums={"_island": "_head"})
-    # An island may cross shards: it is one group, but only of its own runs.
-    return own.groupBy(*keys, "_island").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.first(value).alias(value)).select(*keys, "start_pos", "end_pos", value)
+    # An island goes from its first run to the end of the run before the next island's first one.
+    heads = cut(marked.filter(head).select(*keys, "start_pos", "_pe", value))
+    heads = scan(sharded(heads, keys, "start_pos", width), keys, "start_pos", after={"_ne": "_pe"})
+    ends = own.groupBy(*keys).agg(F.max("end_pos").alias("_last"))
+    last = heads.filter("_ne is null").join(ends, keys)
+    out = heads.filter("_ne is not null").select(*keys, "start_pos", F.col("_ne").alias("end_pos"), value)
+    return out.unionByName(last.select(*keys, "start_pos", F.col("_last").alias("end_pos"), value))
 
 
 def coverage(ranges: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathtide.operators.graph import blocks, components, extend_reads, linear_map, path_positions
+from pathtide.operators.graph import blocks, components, extend_both_ways, extend_reads, linear_map, path_positions
 from pathtide.operators.joins import attach, overlap_join
 from pathtide.operators.segments import fill_holes, internal_fill, max_paths, peak_scores, segment_scores, segments
 from pathtide.operators.stats import background, p_track, q_values
@@ -46,14 +46,13 @@ def _turned(links: DataFrame) -> DataFrame:
 
 def _extended(own: DataFrame, graph: DataFrame, links: DataFrame) -> DataFrame:
     """Flat ranges (read_id, chrom, a, b) of the reads' steps and of their extensions."""
-    at = graph.select("node_id", "chrom", "node_index", F.col("size").alias("bp"))
-    first, last = _ends(own).withColumnRenamed("offset", "from_"), _ends_reverse(own).withColumnRenamed("offset", "from_")
-    fwd = cut(extend_reads(_ends(own), graph, links, EXTENSION)).join(at, "node_id").join(first, ["read_id", "node_id"], "left")
-    fwd = fwd.select("read_id", "chrom", (F.col("node_index") + F.coalesce("from_", F.lit(0))).alias("a"), (F.col("node_index") + F.col("reach")).alias("b"))
-    rev = cut(extend_reads(_ends_reverse(own), graph, _turned(links), EXTENSION)).join(at, "node_id").join(last, ["read_id", "node_id"], "left")
-    end = F.col("node_index") + F.col("bp")
-    rev = rev.select("read_id", "chrom", (end - F.col("reach")).alias("a"), (end - F.coalesce("from_", F.lit(0))).alias("b"))
-    return cut(own.select("read_id", "chrom", "a", "b").unionByName(fwd).unionByName(rev))
+    ends = _ends(own).withColumn("way", F.lit(1)).unionByName(_ends_reverse(own).withColumn("way", F.lit(-1)))
+    reached = extend_both_ways(ends, graph, links, EXTENSION).join(ends.withColumnRenamed("offset", "from_"), ["read_id", "way", "node_id"], "left")
+    reached = reached.join(graph.select("node_id", "chrom", "node_index"), "node_id")
+    lo, end = F.coalesce("from_", F.lit(0)), F.col("node_index") + F.col("size")
+    a = F.when(F.col("way") > 0, F.col("node_index") + lo).otherwise(end - F.col("reach"))
+    b = F.when(F.col("way") > 0, F.col("node_index") + F.col("reach")).otherwise(end - lo)
+    return cut(own.select("read_id", "chrom", "a", "b").unionByName(reached.select("read_id", "chrom", a.alias("a"), b.alias("b"))))
 
 
 def sample_pileup(spark: SparkSession, d: str) -> DataFrame:
@@ -174,14 +173,16 @@ def called_peaks(spark: SparkSession, d: str) -> DataFrame:
     own, graph, links = _base(spark, d)
     ranges = _extended(own, graph, links)
     touched = _touched(ranges, graph)
+    # All that follows the background lies on touched nodes.
+    part = touched.select("chrom", "node_id", (F.col("node_end") - F.col("node_index")).cast("int").alias("size"), "node_index")
     lam, least = _background_on_graph(own, graph, links, touched)
     sample, lam = cut(coverage(ranges, ["chrom"], "a", "b")), cut(lam)
     p = cut(p_track(sample, lam, F.lit(1.0), F.lit(1.0), F.lit(least)))
     q = cut(_with_q(p, graph.agg(F.sum("size")).first()[0] or 1))
-    filled = cut(fill_holes(cut(threshold(q, ["chrom"], LEVEL)), graph, links, touched, HOLE))
+    filled = cut(fill_holes(cut(threshold(q, ["chrom"], LEVEL)), part, links, touched, HOLE))
     direct = cut(coverage(own, ["chrom"], "a", "b"))
-    peaks = cut(max_paths(filled, graph, links, direct).withColumn("id", F.xxhash64("region_paths", "start_off")))
-    scored = peak_scores(peaks, graph, q).filter(F.col("bp") >= EXTENSION)
+    peaks = cut(max_paths(filled, part, links, direct).withColumn("id", F.xxhash64("region_paths", "start_off")))
+    scored = peak_scores(peaks, part, q).filter(F.col("bp") >= EXTENSION)
     return scored.select("chrom", "start_off", "end_off", "region_paths", F.lit(1).alias("direction"), F.col("score").alias("average_q_value"), F.col("is_ambiguous").cast("int").alias("is_ambigous"), F.col("is_diff").cast("int").alias("is_diff"), "bp")
 
 
