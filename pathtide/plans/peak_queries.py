@@ -395,9 +395,8 @@ SELECT read_id, sample_id, max(n_samples) AS most_samples, max(n_reads) AS most_
     "interval_intersection": _S + _PRJ + ", " + LINEAR + ", " + runs_sql("cover", "prj") + f""" SELECT lp_id, CAST(sum(least(b, end_pos) - greatest(a, start_pos)) AS BIGINT) AS shared_bp, max(value) AS most_peaks
 FROM linear l JOIN cover c ON c.chrom = l.chrom AND start_pos < b AND a < end_pos GROUP BY lp_id HAVING sum(least(b, end_pos) - greatest(a, start_pos)) >= {OVERLAP}""",
     "identical_peaks": _RD + ", same AS (SELECT rp, s, e, count(DISTINCT sample_id) AS n_samples, min(read_id) AS first_id FROM reads GROUP BY rp, s, e HAVING count(DISTINCT sample_id) > 1) SELECT read_id, first_id, n_samples FROM reads JOIN same USING (rp, s, e)",
-    "similar_peaks": _RD + f""", f AS (SELECT rp, min((s, e, read_id)) AS k FROM reads GROUP BY rp),
-firsts AS (SELECT r.rp, r.s AS fs, r.e AS fe, r.read_id AS fid FROM reads r JOIN f ON r.rp = f.rp AND (r.s, r.e, r.read_id) = f.k)
-SELECT read_id, fid AS first_id FROM reads JOIN firsts USING (rp) WHERE read_id <> fid AND abs(s - fs) <= {MISMATCH} AND abs(e - fe) <= {MISMATCH}""",
+    "similar_peaks": _RD + f""" SELECT b.read_id, a.read_id AS first_id FROM reads a JOIN reads b ON a.rp = b.rp AND (a.s, a.e, a.read_id) < (b.s, b.e, b.read_id)
+AND abs(a.s - b.s) <= {MISMATCH} AND abs(a.e - b.e) <= {MISMATCH}""",
     "peak_composition": _S + """ SELECT sample_id, count(DISTINCT read_id) AS n_peaks, CAST(sum(hi - lo) AS BIGINT) AS bp, round(sum(hi - lo) / count(DISTINCT read_id), 6) AS mean_bp, round(count(*) / sum(hi - lo), 6) AS nodes_per_bp,
 round(sum(CASE WHEN path_offset IS NULL THEN hi - lo ELSE 0 END) / sum(hi - lo), 6) AS off_share FROM steps GROUP BY sample_id""",
     "summits": _L + ", " + runs_sql("cover", "linear") + f""", part AS (SELECT lp_id, a, b, value, greatest(a, start_pos) AS x, least(b, end_pos) AS y FROM linear l JOIN cover c ON c.chrom = l.chrom AND start_pos < b AND a < end_pos),
@@ -414,15 +413,19 @@ SELECT lp_id, summit, greatest(summit - {WINDOW}, a) AS start_pos, least(summit
 SELECT is_ambigous, is_diff, count(n_hits) AS with_motif, count(*) - count(n_hits) AS without_motif FROM own LEFT JOIN hits USING (read_id) GROUP BY ALL""",
     "motif_enrichment": _S + _SEQ + _GOOD + """ SELECT sample_id, read_id, row_number() OVER w AS place, round(sum(CASE WHEN n_hits IS NULL THEN 0 ELSE 1 END) OVER w / row_number() OVER w, 9) AS share
 FROM good LEFT JOIN hits USING (read_id) WINDOW w AS (PARTITION BY sample_id ORDER BY q DESC, read_id ROWS UNBOUNDED PRECEDING)""",
-    "motif_locations": _S + _SEQ + """, acc AS (SELECT read_id, node_id, lo, hi - lo AS bp, sum(hi - lo) OVER (PARTITION BY read_id ORDER BY i) AS upto FROM steps WHERE node > 0)
-SELECT read_id, node_id, CAST(lo + start - 1 - (upto - bp) AS BIGINT) AS "offset" FROM acc JOIN hits USING (read_id) WHERE start - 1 >= upto - bp AND start - 1 < upto""",
+    "motif_locations": _S + _SEQ + """, acc AS (SELECT read_id, node, node_id, CASE WHEN node > 0 THEN lo ELSE size - hi END AS begin_, hi - lo AS bp, sum(hi - lo) OVER (PARTITION BY read_id ORDER BY i) AS upto FROM steps)
+SELECT read_id, node_id, CAST(begin_ + start - 1 - (upto - bp) AS BIGINT) AS "offset", CASE WHEN node > 0 THEN '+' ELSE '-' END AS strand FROM acc JOIN hits USING (read_id) WHERE start - 1 >= upto - bp AND start - 1 < upto""",
     "best_motif": _S + _SEQ + _GOOD + " SELECT sample_id, n_hits, q, read_id FROM good JOIN hits USING (read_id) QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY n_hits DESC, q DESC, read_id) = 1",
     "top_peaks": _RD + _GOOD + f" SELECT read_id, sample_id, q FROM good ORDER BY q DESC, read_id LIMIT {BEST}",
     "concat_peaks": _RD + _GOOD + " SELECT sample_id, read_id, q, 'peak' || (row_number() OVER (PARTITION BY sample_id ORDER BY q DESC, read_id) - 1) AS name FROM good",
     "region_filter": _L + ", " + _PATH + ", ends AS (SELECT chrom, max(path_offset + size) AS bp FROM path GROUP BY chrom) SELECT lp_id, chrom, a, b FROM linear JOIN ends USING (chrom) WHERE b * 2 <= bp",
     "first_of_place": _L + " SELECT run_id, chrom, a, min(lp_id) AS lp_id, count(*) AS n FROM linear GROUP BY run_id, chrom, a",
-    "alignment_compare": _S + _PRJ + ", " + LINEAR + """, g AS (SELECT chrom, a // 100 AS bin, min(a) AS ga FROM prj GROUP BY ALL), l AS (SELECT chrom, a // 100 AS bin, min(a) AS la FROM linear GROUP BY ALL)
-SELECT chrom, CASE WHEN ga IS NULL THEN 'linear_only' WHEN la IS NULL THEN 'graph_only' WHEN abs(ga - la) <= 5 THEN 'same' ELSE 'apart' END AS kind, count(*) AS n FROM g FULL JOIN l USING (chrom, bin) GROUP BY ALL""",
+    "alignment_compare": _S + _PRJ + ", " + LINEAR + f""", g AS (SELECT chrom, a, count(*) AS calls FROM prj GROUP BY ALL), l AS (SELECT chrom, a, count(*) AS calls FROM linear GROUP BY ALL),
+m AS (SELECT g.chrom, g.a AS ga, l.a AS la, abs(g.a - l.a) AS off FROM g JOIN l ON l.chrom = g.chrom AND l.a > g.a - {PLACE} AND l.a < g.a + {PLACE}),
+own AS (SELECT g.chrom, 'graph_only' AS only_, min(off) AS off, true AS graph, any_value(g.calls) AS calls FROM g LEFT JOIN m ON m.chrom = g.chrom AND ga = g.a GROUP BY g.chrom, g.a
+  UNION ALL SELECT l.chrom, 'linear_only', min(off), false, any_value(l.calls) FROM l LEFT JOIN m ON m.chrom = l.chrom AND la = l.a GROUP BY l.chrom, l.a),
+k AS (SELECT chrom, graph, calls, CASE WHEN off IS NULL THEN only_ WHEN off <= {NEAR} THEN 'same' ELSE 'apart' END AS kind FROM own)
+SELECT chrom, kind, count(*) FILTER (WHERE graph OR kind = 'linear_only') AS n, CAST(sum(CASE WHEN graph THEN calls ELSE 0 END) AS BIGINT) AS graph_calls, CAST(sum(CASE WHEN graph THEN 0 ELSE calls END) AS BIGINT) AS linear_calls FROM k GROUP BY chrom, kind""",
     "alignment_sets": _S + """, f AS (SELECT DISTINCT node_id FROM steps WHERE node > 0), r AS (SELECT DISTINCT node_id FROM steps WHERE node < 0)
 SELECT node_id, CASE WHEN f.node_id IS NULL THEN 'reverse' WHEN r.node_id IS NULL THEN 'forward' ELSE 'both' END AS kind FROM f FULL JOIN r USING (node_id)""",
     "reads_on_peaks": _S + _PRJ + ", " + LINEAR + """ SELECT read_id, count(*) AS n_calls, round(CAST(sum(CAST(score AS DECIMAL(18, 6))) AS DOUBLE) / nullif(count(score), 0), 6) AS mean_score

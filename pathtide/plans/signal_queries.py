@@ -330,7 +330,7 @@ link AS (SELECT src AS a, dst AS b FROM edge WHERE src IN (SELECT node_id FROM s
 two AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
 reach AS (SELECT node_id AS id, node_id AS hit FROM seen UNION SELECT reach.id, two.b FROM reach JOIN two ON two.a = reach.hit)
 SELECT id AS node_id, min(hit) AS component FROM reach GROUP BY id""",
-    "peak_maxima": "WITH " + STEPS + ", " + runs_sql("cover", "steps") + """, own AS (SELECT read_id, chrom, a, b FROM steps WHERE read_id IN (SELECT read_id FROM reads WHERE rp[1] > 0)),
+    "peak_maxima": "WITH " + STEPS + ", " + runs_sql("cover", "steps") + """, own AS (SELECT read_id, chrom, a, b FROM steps),
 z AS (SELECT read_id, CAST(sum(b - a) AS BIGINT) AS bp FROM own GROUP BY read_id),
 t AS (SELECT read_id, max(value) AS score FROM own JOIN cover ON cover.chrom = own.chrom AND start_pos < b AND a < end_pos WHERE a < b GROUP BY read_id)
 SELECT read_id, bp, coalesce(score, 0) AS score FROM z LEFT JOIN t USING (read_id)""",
