@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,3 +110,30 @@ def smooth(rows: DataFrame, at: str, value: str, half: int) -> DataFrame:
     w = Window.orderBy("x").rowsBetween(-half, half)
     got = mirrored.withColumn("smoothed", F.avg(value).over(w)).filter((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
     return got.select(F.col("x").alias(at), F.col(value), "smoothed")
+
+
+class NotEnoughPairs(ValueError):
+    """Too few pairs of windows to tell a fragment length from."""
+
+
+#: Pairs below which there is no estimate, pairs below which it is unsure, and the length no estimate may reach.
+FEWEST_PAIRS, FEW_PAIRS, LONGEST = 100, 500, 1000
+
+
+def fragment_length(pairs: DataFrame, profile: DataFrame) -> int:
+    """The best positive local maximum of a smoothed lag ``profile`` (lag, smoothed, is_maximum), guarded by the number of ``pairs``.
+
+    The profile is as short as its lags. Raises NotEnoughPairs below ``FEWEST_PAIRS`` or where there
+    is no maximum, ValueError from ``LONGEST`` on, and warns below ``FEW_PAIRS``.
+    """
+    n = pairs.count()
+    if n < FEWEST_PAIRS:
+        raise NotEnoughPairs(f"{n} pairs, at least {FEWEST_PAIRS} are needed")
+    if n < FEW_PAIRS:
+        warnings.warn(f"only {n} pairs: the fragment length is unsure", stacklevel=2)
+    best = profile.filter("is_maximum and lag > 0").orderBy(F.desc("smoothed"), "lag").select("lag").first()
+    if best is None:
+        raise NotEnoughPairs("the lag profile has no maximum")
+    if best[0] >= LONGEST:
+        raise ValueError(f"a fragment length of {best[0]} is beyond belief")
+    return int(best[0])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pathtide.operators.joins import overlap_join
+from pathtide.operators.joins import asof_join, attach, overlap_join
 from pathtide.operators.matching import greedy_matches, similar_intervals
 from pathtide.operators.periods import merge_periods
 from pathtide.operators.scan import ranked
@@ -68,11 +68,11 @@ def variant_edges(spark: SparkSession, d: str) -> DataFrame:
 
 def split_by_node_range(spark: SparkSession, d: str) -> DataFrame:
     """Reads by the chromosome whose range of node ids holds their first node; others are unmapped."""
-    ranges = nodes(spark, d).groupBy("chrom").agg(F.min("node_id").alias("lo"), F.max("node_id").alias("hi"))
-    first = reads(spark, d).select("read_id", F.abs(F.element_at("rp", 1)).alias("node_id"))
-    # One row a chromosome: the ranges are broadcast only if Spark finds them small.
-    got = first.join(ranges, (F.col("node_id") >= F.col("lo")) & (F.col("node_id") <= F.col("hi")), "left")
-    return got.select("read_id", F.coalesce("chrom", F.lit("unmapped")).alias("chrom"))
+    ranges = nodes(spark, d).groupBy("chrom").agg(F.min("node_id").alias("lo"), F.max("node_id").alias("hi")).withColumn("axis", F.lit(0))
+    first = reads(spark, d).select("read_id", F.abs(F.element_at("rp", 1)).alias("node_id"), F.lit(0).alias("axis"))
+    # Ranges of different chromosomes are apart: the last one that begins at or before the node is the only one that may hold it.
+    got = asof_join(first, ranges, ["axis"], "node_id", "lo", ["chrom", "hi"])
+    return got.select("read_id", F.coalesce(F.when(F.col("node_id") <= F.col("hi"), F.col("chrom")), F.lit("unmapped")).alias("chrom"))
 
 
 def peak_overlap_nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -244,10 +244,24 @@ def concat_peaks(spark: SparkSession, d: str) -> DataFrame:
     return got.select("sample_id", "read_id", "q", F.concat(F.lit("peak"), (F.col("place") - 1).cast("string")).alias("name"))
 
 
+def within_regions(peaks: DataFrame, regions: DataFrame) -> DataFrame:
+    """``peaks`` (chrom, a, b) that lie wholly within one of the disjoint ``regions`` (chrom, region_start, region_end)."""
+    got = asof_join(peaks, regions, ["chrom"], "a", "region_start", ["region_end"])
+    return got.filter("b <= region_end").drop("region_end")
+
+
 def region_filter(spark: SparkSession, d: str) -> DataFrame:
-    """Linear peaks wholly within the first half of their chromosome's path."""
-    ends = nodes(spark, d).filter("path_offset is not null").groupBy("chrom").agg(F.max(F.col("path_offset") + F.col("size")).alias("bp"))
-    return linear(spark, d).join(ends, "chrom").filter(F.col("b") * 2 <= F.col("bp")).select("lp_id", "chrom", "a", "b")
+    """Linear peaks wholly within a region: of each chromosome, the first half of its path."""
+    half = F.expr("max(path_offset + size) div 2").alias("region_end")
+    regions = nodes(spark, d).filter("path_offset is not null").groupBy("chrom").agg(half).withColumn("region_start", F.lit(0).cast("long"))
+    return within_regions(linear(spark, d).select("lp_id", "chrom", "a", "b"), regions)
+
+
+def identical_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Linear peaks whose very interval other runs call too: on how many runs, and the first of them."""
+    li = linear(spark, d)
+    same = li.groupBy("chrom", "a", "b").agg(F.countDistinct("run_id").alias("n_runs"), F.min("lp_id").alias("first_id")).filter("n_runs > 1")
+    return attach(li.select("lp_id", "chrom", "a", "b"), same, ["chrom", "a", "b"], ["lp_id"]).select("lp_id", "first_id", "n_runs")
 
 
 def first_of_place(spark: SparkSession, d: str) -> DataFrame:
@@ -369,7 +383,7 @@ def shift_lags(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     peaks_to_linear, project_alignments, linear_to_graph, on_linear_path, linear_filter, variant_edges, split_by_node_range, peak_overlap_nodes, interval_intersection,
     identical_peaks, similar_peaks, peak_set_matching, peak_compare_report, peak_composition, summits, linear_summits, interval_sequence, motif_hits, motif_semi, motif_anti,
-    motif_contingency, motif_enrichment, motif_locations, best_motif, top_peaks, concat_peaks, region_filter, first_of_place, alignment_compare, alignment_sets, reads_on_peaks,
+    motif_contingency, motif_enrichment, motif_locations, best_motif, top_peaks, concat_peaks, region_filter, identical_calls, first_of_place, alignment_compare, alignment_sets, reads_on_peaks,
     variants_in_intervals, variant_clusters, haplotype_step, genotype_match, haplotype_summary, forbes, diplo_histogram, report_rollup, shift_lags,
 )}
 
@@ -419,6 +433,8 @@ SELECT read_id, node_id, CAST(begin_ + start - 1 - (upto - bp) AS BIGINT) AS "of
     "top_peaks": _RD + _GOOD + f" SELECT read_id, sample_id, q FROM good ORDER BY q DESC, read_id LIMIT {BEST}",
     "concat_peaks": _RD + _GOOD + " SELECT sample_id, read_id, q, 'peak' || (row_number() OVER (PARTITION BY sample_id ORDER BY q DESC, read_id) - 1) AS name FROM good",
     "region_filter": _L + ", " + _PATH + ", ends AS (SELECT chrom, max(path_offset + size) AS bp FROM path GROUP BY chrom) SELECT lp_id, chrom, a, b FROM linear JOIN ends USING (chrom) WHERE b * 2 <= bp",
+    "identical_calls": _L + """, same AS (SELECT chrom, a, b, count(DISTINCT run_id) AS n_runs, min(lp_id) AS first_id FROM linear GROUP BY chrom, a, b HAVING count(DISTINCT run_id) > 1)
+SELECT lp_id, first_id, n_runs FROM linear JOIN same USING (chrom, a, b)""",
     "first_of_place": _L + " SELECT run_id, chrom, a, min(lp_id) AS lp_id, count(*) AS n FROM linear GROUP BY run_id, chrom, a",
     "alignment_compare": _S + _PRJ + ", " + LINEAR + f""", g AS (SELECT chrom, a, count(*) AS calls FROM prj GROUP BY ALL), l AS (SELECT chrom, a, count(*) AS calls FROM linear GROUP BY ALL),
 m AS (SELECT g.chrom, g.a AS ga, l.a AS la, abs(g.a - l.a) AS off FROM g JOIN l ON l.chrom = g.chrom AND l.a > g.a - {PLACE} AND l.a < g.a + {PLACE}),

@@ -16,26 +16,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (local tests) a temporary folder is set, once.
+    Only a local session that names none (as in tests) gets a temporary folder, once; on a cluster
+    an executor couldn't read what another one wrote there, so it is an error.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and sc.getCheckpointDir() is None and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return named or sc.getCheckpointDir()
 
 
+def _cuts(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/cuts-{spark.sparkContext.applicationId}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there.
 
     Unlike a local checkpoint the files outlive any executor.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = f"{_cuts(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_cuts(spark: SparkSession) -> None:
+    """Deletes what the session's :func:`cut` wrote so far. To be called when the results that stand on it have been written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_cuts(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def sized_broadcast(small: DataFrame, rows: int, bound: int = 100_000) -> DataFrame:
     """``small`` with a broadcast hint if its counted ``rows`` are within ``bound``; else as it is."""
     return small.hint("broadcast") if rows <= bound else small

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from pathtide.operators.walks import follow, haplotype_paths, smooth, tag_windows, variant_aware_paths
+from pathtide.operators.walks import NotEnoughPairs, follow, fragment_length, haplotype_paths, smooth, tag_windows, variant_aware_paths
 
 
 def test_follow(spark):
@@ -53,3 +53,16 @@ def test_tag_windows_and_smoothing(spark):
     assert sorted(tuple(x) for x in got.collect()) == sorted(want)
     rows = spark.createDataFrame([(i, v) for i, v in enumerate([1, 5, 2, 8, 3])], "lag long, n long")
     assert [round(x.smoothed, 6) for x in smooth(rows, "lag", "n", 1).orderBy("lag").collect()] == [round(v / 3, 6) for v in (11, 8, 15, 13, 19)]
+
+
+def test_fragment_length_guards(spark):
+    profile = spark.createDataFrame([(0, 9.0, True), (40, 5.0, True), (70, 7.0, True), (80, 8.0, False)], "lag long, smoothed double, is_maximum boolean")
+    assert fragment_length(spark.range(600), profile) == 70
+    with pytest.warns(UserWarning, match="unsure"):
+        assert fragment_length(spark.range(100), profile) == 70
+    with pytest.raises(NotEnoughPairs):
+        fragment_length(spark.range(99), profile)
+    with pytest.raises(NotEnoughPairs):
+        fragment_length(spark.range(600), profile.filter("lag = 0"))
+    with pytest.raises(ValueError, match="beyond"):
+        fragment_length(spark.range(600), profile.selectExpr("lag + 1000 as lag", "smoothed", "is_maximum"))
