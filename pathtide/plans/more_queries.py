@@ -90,6 +90,40 @@ def matrix_best_hits(spark: SparkSession, d: str) -> DataFrame:
     return best_hits(matrix_hits(seqs, "read_id", MATRIX, LEAST_SCORE), "read_id")
 
 
+def diff_binding(spark: SparkSession, d: str) -> DataFrame:
+    """Peaks whose best motif hit lies on several nodes that reads also pass by: the best other way between the hit's first and last node.
+
+    Nodes score the base pairs reads cover on them. The way leaves out the hit's own nodes and takes
+    covered nodes only; of ways of equal score the smaller one by its nodes. Ids rise along edges, so
+    a walk is over when it reaches or passes the last node.
+    """
+    s = cut(steps(spark, d).select("read_id", "i", "node_id", "lo", "hi"))
+    hits = matrix_best_hits(spark, d).select("read_id", "start", "stop")
+    upto = F.sum(F.col("hi") - F.col("lo")).over(Window.partitionBy("read_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    on = s.withColumn("upto", upto).join(hits, "read_id").filter((F.col("start") <= F.col("upto")) & (F.col("upto") - (F.col("hi") - F.col("lo")) < F.col("stop")))
+    motif = on.groupBy("read_id").agg(F.array_sort(F.collect_set("node_id")).alias("own")).filter(F.size("own") > 1)
+    scores = cut(s.groupBy("node_id").agg(F.sum(F.col("hi") - F.col("lo")).alias("bp")).filter("bp > 0"))
+    main = motif.select("read_id", F.explode(F.slice("own", 2, F.size("own") - 2)).alias("node_id")).join(scores, "node_id").groupBy("read_id").agg(F.sum("bp").alias("main_bp"))
+    motif = cut(motif.join(main, "read_id", "left").select("read_id", "own", F.element_at("own", -1).alias("last"), F.coalesce("main_bp", F.lit(0)).alias("main_bp")))
+    e = cut(edges(spark, d).select("src", "dst"))
+    covered = scores.select(F.col("node_id").alias("dst"), "bp")
+    front = motif.select("read_id", F.element_at("own", 1).alias("at"), F.lit(0).cast("long").alias("bp"), F.array().cast("array<bigint>").alias("way"))
+    found = []
+    while True:
+        on = front.join(e.withColumnRenamed("src", "at"), "at").join(motif.select("read_id", "own", "last"), "read_id")
+        found.append(cut(on.filter((F.col("dst") == F.col("last")) & (F.size("way") > 0)).select("read_id", "bp", "way")))
+        on = on.filter((F.col("dst") < F.col("last")) & ~F.array_contains("own", F.col("dst"))).withColumnRenamed("bp", "sum").join(covered, "dst")
+        best = F.min(F.struct((-(F.col("sum") + F.col("bp"))).alias("k"), F.concat("way", F.array("dst")).alias("way"))).alias("b")
+        front = cut(on.groupBy("read_id", F.col("dst").alias("at")).agg(best).select("read_id", "at", (-F.col("b.k")).alias("bp"), F.col("b.way").alias("way")))
+        if front.isEmpty():
+            break
+    ways = found[0]
+    for f in found[1:]:
+        ways = ways.unionByName(f)
+    got = ways.groupBy("read_id").agg(F.min(F.struct((-F.col("bp")).alias("k"), "way")).alias("b")).join(motif, "read_id")
+    return got.select("read_id", F.col("own").alias("motif_nodes"), F.col("b.way").alias("other_way"), "main_bp", (-F.col("b.k")).alias("other_bp"))
+
+
 def topological_check(spark: SparkSession, d: str) -> DataFrame:
     """Edges per chromosome, and those that don't lead to a higher node: the graph operators need none of these."""
     e = edges(spark, d)
@@ -184,7 +218,7 @@ def lag_summits(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    overlap_pairs, contained_peaks, reversed_intervals, shifted_peaks, super_summits, linear_peak_sequences, matrix_best_hits, topological_check, starts_in_regions,
+    overlap_pairs, contained_peaks, reversed_intervals, shifted_peaks, super_summits, linear_peak_sequences, matrix_best_hits, diff_binding, topological_check, starts_in_regions,
     peak_table, variant_nodes, insertion_check, extended_ends, lag_summits,
 )}
 
@@ -234,6 +268,16 @@ FROM win JOIN nodes n ON n.chrom = win.chrom AND path_offset IS NOT NULL AND wa
     "linear_peak_sequences": _L + f""" SELECT lp_id, string_agg({_LETTERS.format(lo='greatest(a, path_offset) - path_offset', hi='least(b, path_offset + node_size) - path_offset')}, '' ORDER BY path_offset) AS sequence
 FROM linear l JOIN nodes n ON n.chrom = l.chrom AND path_offset IS NOT NULL AND a < path_offset + node_size AND path_offset < b GROUP BY lp_id""",
     "matrix_best_hits": _matrix_sql(),
+    "diff_binding": _matrix_sql().replace("WITH ", "WITH RECURSIVE ", 1).replace("\nSELECT * FROM scored", ", edge AS (SELECT DISTINCT chrom, src, dst FROM edges),\nbest_ AS (SELECT * FROM scored", 1) + """),
+acc AS (SELECT read_id, node_id, hi - lo AS bp, sum(hi - lo) OVER (PARTITION BY read_id ORDER BY i) AS upto FROM steps),
+motif AS (SELECT read_id, list_sort(list_distinct(list(node_id))) AS own FROM acc JOIN best_ USING (read_id) WHERE start <= upto AND upto - bp < stop GROUP BY read_id HAVING len(list_distinct(list(node_id))) > 1),
+scores AS (SELECT node_id, CAST(sum(hi - lo) AS BIGINT) AS bp FROM steps GROUP BY node_id HAVING sum(hi - lo) > 0),
+main AS (SELECT read_id, CAST(sum(bp) AS BIGINT) AS main_bp FROM (SELECT read_id, unnest(own[2:len(own) - 1]) AS node_id FROM motif) JOIN scores USING (node_id) GROUP BY read_id),
+w AS (SELECT read_id, own, own[1] AS spot, CAST(0 AS BIGINT) AS bp, CAST([] AS BIGINT[]) AS way FROM motif
+  UNION ALL SELECT read_id, own, dst, w.bp + s.bp, list_append(way, dst) FROM w JOIN edge ON src = spot JOIN scores s ON s.node_id = dst WHERE dst < own[len(own)] AND NOT list_contains(own, dst)),
+fin AS (SELECT read_id, own, bp, way FROM w JOIN edge ON src = spot AND dst = own[len(own)] WHERE len(way) > 0)
+SELECT read_id, own AS motif_nodes, way AS other_way, coalesce(main_bp, 0) AS main_bp, bp AS other_bp FROM fin LEFT JOIN main USING (read_id)
+QUALIFY row_number() OVER (PARTITION BY read_id ORDER BY bp DESC, way) = 1""",
     "topological_check": "WITH " + EDGES + " SELECT chrom, count(*) AS n_edges, count(*) FILTER (WHERE src >= dst) AS n_falling FROM edge GROUP BY chrom",
     "starts_in_regions": _S + ", " + runs_sql("cover", "steps") + f""", high AS (SELECT chrom, start_pos, end_pos, true AS value FROM cover WHERE value >= {CUTOFF}), {islands_sql("act", "high")},
 st AS (SELECT chrom, node > 0 AS forward, CASE WHEN node > 0 THEN a ELSE b - 1 END AS spot FROM steps WHERE i = 0 AND lo < hi)

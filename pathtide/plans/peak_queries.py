@@ -340,11 +340,15 @@ def genotype_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 def haplotype_summary(spark: SparkSession, d: str) -> DataFrame:
-    """The commonest path between equal ends, and how often it and all paths are called."""
+    """The commonest path between equal ends, the commonest one among the calls that don't take it, and how often these and all paths are called."""
     r = reads(spark, d).select(F.element_at("rp", 1).alias("first"), F.element_at("rp", -1).alias("last"), F.array_join("rp", ",").alias("path"))
-    per = r.groupBy("first", "last", "path").agg(F.count(F.lit(1)).alias("n"))
-    best = per.groupBy("first", "last").agg(F.sum("n").alias("n_all"), F.count(F.lit(1)).alias("n_paths"), F.max("n").alias("n_best"), F.min(F.struct((-F.col("n")).alias("k"), "path")).path.alias("path"))
-    return best.filter("n_all > 1")
+    per = cut(r.groupBy("first", "last", "path").agg(F.count(F.lit(1)).alias("n")))
+    commonest = F.min(F.struct((-F.col("n")).alias("k"), "path")).alias("c")
+    best = per.groupBy("first", "last").agg(F.sum("n").alias("n_all"), F.count(F.lit(1)).alias("n_paths"), commonest)
+    best = best.filter("n_all > 1").select("first", "last", "n_all", "n_paths", (-F.col("c.k")).alias("n_best"), F.col("c.path").alias("path"))
+    rest = per.join(best.select("first", "last", "path"), ["first", "last", "path"], "left_anti").groupBy("first", "last").agg(commonest)
+    rest = rest.select("first", "last", (-F.col("c.k")).alias("n_second"), F.col("c.path").alias("second_path"))
+    return best.join(rest, ["first", "last"], "left").withColumn("n_second", F.coalesce("n_second", F.lit(0)))
 
 
 def forbes(spark: SparkSession, d: str) -> DataFrame:
@@ -454,8 +458,10 @@ SELECT chrom, min(a) AS start_pos, max(b) AS end_pos, count(*) AS n_variants FRO
 SELECT src, dst, coalesce(n, 0) AS n_reads FROM edge LEFT JOIN n ON n.node_id = dst QUALIFY row_number() OVER (PARTITION BY src ORDER BY coalesce(n, 0) DESC, dst) = 1""",
     "genotype_match": _S + """, s AS (SELECT DISTINCT sample_id, chrom, node_id FROM steps WHERE path_offset IS NULL), c AS (SELECT chrom, node_id FROM s GROUP BY ALL HAVING count(*) >= 2),
 t AS (SELECT chrom, count(*) AS n FROM c GROUP BY chrom) SELECT sample_id, chrom, count(*) AS has, count(*) = any_value(n) AS complete FROM s JOIN c USING (chrom, node_id) JOIN t USING (chrom) GROUP BY sample_id, chrom""",
-    "haplotype_summary": _RD + """, p AS (SELECT rp[1] AS first, rp[len(rp)] AS last, array_to_string(rp, ',') AS path, count(*) AS n FROM reads GROUP BY ALL)
-SELECT first, last, CAST(sum(n) AS BIGINT) AS n_all, count(*) AS n_paths, max(n) AS n_best, arg_min(path, (-n, path)) AS path FROM p GROUP BY first, last HAVING sum(n) > 1""",
+    "haplotype_summary": _RD + """, p AS (SELECT rp[1] AS first, rp[len(rp)] AS last, array_to_string(rp, ',') AS path, count(*) AS n FROM reads GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY first, last ORDER BY n DESC, path) AS place FROM p)
+SELECT first, last, CAST(sum(n) AS BIGINT) AS n_all, count(*) AS n_paths, max(n) AS n_best, any_value(path) FILTER (WHERE place = 1) AS path,
+  coalesce(any_value(n) FILTER (WHERE place = 2), 0) AS n_second, any_value(path) FILTER (WHERE place = 2) AS second_path FROM k GROUP BY first, last HAVING sum(n) > 1""",
     "forbes": _S + _PRJ + ", " + LINEAR + ", " + _PATH + """, g AS (SELECT DISTINCT chrom, a // 100 AS bin FROM prj), l AS (SELECT DISTINCT chrom, a // 100 AS bin FROM linear),
 z AS (SELECT chrom, ceil(max(path_offset + size) / 100) AS n_bins FROM path GROUP BY chrom), ng AS (SELECT chrom, count(*) AS n_g FROM g GROUP BY chrom), nl AS (SELECT chrom, count(*) AS n_l FROM l GROUP BY chrom),
 nb AS (SELECT chrom, count(*) AS n_both FROM g JOIN l USING (chrom, bin) GROUP BY chrom)
