@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathtide.operators.scan import scan, sharded
-from pathtide.session import cut
+from pathtide.session import cut, free
 
 
 def blocks(nodes: DataFrame, edges: DataFrame, width: int = 4096) -> DataFrame:
@@ -103,7 +103,9 @@ def extend_both_ways(ends: DataFrame, nodes: DataFrame, edges: DataFrame, extens
     for level in levels[1:]:
         out = out.unionByName(level)
     out = out.groupBy(*keys).agg(F.max("rem").alias("rem"))
-    return out.select("read_id", "way", "node_id", "size", F.least("rem", "size").cast("int").alias("reach"))
+    out = cut(out.select("read_id", "way", "node_id", "size", F.least("rem", "size").cast("int").alias("reach")))
+    free(ways, *levels)
+    return out
 
 
 def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
@@ -114,7 +116,8 @@ def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
     both = cut(both)
-    labels = cut(vertices.select("id", F.col("id").alias("label")).distinct())
+    # Vertices without a link are components of their own from the start.
+    labels = cut(both.select(F.col("a").alias("id"), F.col("a").alias("label")).distinct())
     while True:
         near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("near"))
         hooked = labels.join(near, F.col("id") == F.col("a"), "left").select("id", F.least("label", F.coalesce("near", "label")).alias("new"), F.col("label").alias("old"))
@@ -124,9 +127,14 @@ def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
         jump = hooked.select(F.col("id").alias("j"), F.col("new").alias("jumped"))
         after = cut(hooked.join(jump, F.col("new") == F.col("j"), "left").select("id", F.least("new", F.coalesce("jumped", "new")).alias("label"), "old"))
         changed = not after.filter("label <> old").isEmpty()
-        labels = after.select("id", "label")
+        free(hooked, labels)
+        labels = after
         if not changed:
-            return labels.withColumnRenamed("label", "component")
+            break
+    found = labels.select("id", F.col("label").alias("component"))
+    out = cut(vertices.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component")))
+    free(both, labels)
+    return out
 
 
 def path_positions(nodes: DataFrame) -> DataFrame:

@@ -17,16 +17,16 @@ from pathtide.operators.graph import components
 from pathtide.operators.joins import overlap_join
 from pathtide.operators.scan import scan, sharded
 from pathtide.operators.tracks import coalesce_runs
-from pathtide.session import cut
+from pathtide.session import cut, free
 
-def segments(runs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """chrom, node_id, size, node_index, a, b (flat), kind, for every run and node that overlap."""
+def segments(runs: DataFrame, nodes: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """chrom, node_id, size, node_index, a, b (flat), kind and the ``carried`` columns of the run, for every run and node that overlap."""
     own = nodes.select("chrom", "node_id", "size", "node_index", (F.col("node_index") + F.col("size")).alias("node_end"))
-    got = overlap_join(runs.select("chrom", "start_pos", "end_pos"), own, ["chrom"], ("start_pos", "end_pos"), ("node_index", "node_end"))
+    got = overlap_join(runs.select("chrom", "start_pos", "end_pos", *carried), own, ["chrom"], ("start_pos", "end_pos"), ("node_index", "node_end"))
     got = got.withColumn("a", F.greatest("start_pos", "node_index")).withColumn("b", F.least("end_pos", "node_end"))
     at_start, at_end = F.col("a") == F.col("node_index"), F.col("b") == F.col("node_end")
     kind = F.when(at_start & at_end, "full").when(at_start, "start").when(at_end, "end").otherwise("internal")
-    return got.select("chrom", "node_id", "size", "node_index", "a", "b", kind.alias("kind"))
+    return got.select("chrom", "node_id", "size", "node_index", "a", "b", kind.alias("kind"), *carried)
 
 
 def segment_scores(segs: DataFrame, track: DataFrame) -> DataFrame:
@@ -92,9 +92,11 @@ def fill_holes(runs: DataFrame, nodes: DataFrame, edges: DataFrame, touched: Dat
     holes at the graph's own ends, whole nodes that are not in ``touched`` (chrom, node_id), what
     follows the last run, and components without an entry - or, with ``most``, of more segments.
     """
-    holes = cut(segments(holes_between(runs, nodes), nodes))
+    # Runs and what is between them meet the nodes in one join.
+    both = runs.select("chrom", "start_pos", "end_pos", F.lit(False).alias("hole")).unionByName(holes_between(runs, nodes).withColumn("hole", F.lit(True)))
+    parts_of = cut(segments(both, nodes, ("hole",)).select("chrom", "node_id", "a", "b", "kind", "hole"))
+    holes, active = parts_of.filter("hole").drop("hole"), parts_of.filter("not hole").drop("hole")
     inner = holes.filter((F.col("kind") == "internal") & (F.col("b") - F.col("a") <= longest))
-    active = cut(segments(runs, nodes))
     seen = touched.select("node_id").distinct()
     # A node has at most one segment at its start and one at its end: ids that rise along the graph.
     border = holes.filter("kind <> 'internal'").withColumn("id", F.col("node_id") * 2 + (F.col("kind") == "end").cast("int"))
@@ -113,7 +115,7 @@ def fill_holes(runs: DataFrame, nodes: DataFrame, edges: DataFrame, touched: Dat
     can_leave = edges.join(starts_active, "dst", "left_semi").select(F.col("src").alias("node_id")).distinct().withColumn("leaves", F.lit(True))
     entry = (F.col("kind") == "end") | F.coalesce("enters", F.lit(False))
     leave = (F.col("kind") == "start") | F.coalesce("leaves", F.lit(False))
-    ready = cut(border.join(can_enter, "node_id", "left").join(can_leave, "node_id", "left").withColumn("entry", entry).withColumn("exit", leave))
+    ready = border.join(can_enter, "node_id", "left").join(can_leave, "node_id", "left").withColumn("entry", entry).withColumn("exit", leave)
     parts = components(border.select("id"), links.select(F.col("u").alias("a"), F.col("v").alias("b")))
     succ = links.groupBy(F.col("u").alias("id")).agg(F.collect_set("v").alias("succ"))
     ready = ready.join(parts, "id").join(succ, "id", "left").withColumn("succ", F.coalesce("succ", F.array().cast("array<bigint>")))
@@ -121,10 +123,13 @@ def fill_holes(runs: DataFrame, nodes: DataFrame, edges: DataFrame, touched: Dat
         sizes = ready.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
         ready = ready.join(sizes.filter(F.col("n") <= most), "component", "left_semi")
     grouped = ready.groupBy("component").agg(F.collect_list(F.struct("id", "len", "entry", "exit", "succ")).alias("members"))
-    filled = border.join(cut(grouped).mapInPandas(_hole_needs(longest), "id long"), "id", "left_semi")
+    grouped = cut(grouped)
+    filled = border.join(grouped.mapInPandas(_hole_needs(longest), "id long"), "id", "left_semi")
     add = inner.select("chrom", "a", "b").unionByName(filled.select("chrom", "a", "b"))
     both = runs.select("chrom", "start_pos", "end_pos").unionByName(add.select("chrom", F.col("a").alias("start_pos"), F.col("b").alias("end_pos")))
-    return coalesce_runs(both.withColumn("value", F.lit(True)), ["chrom"]).drop("value")
+    out = coalesce_runs(both.withColumn("value", F.lit(True)), ["chrom"]).drop("value")
+    free(parts_of, border, links, parts, grouped)
+    return out
 
 
 def _best_paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -185,7 +190,9 @@ def max_paths(runs: DataFrame, nodes: DataFrame, edges: DataFrame, track: DataFr
     succ = links.groupBy(F.col("u").alias("id")).agg(F.collect_set("v").alias("succ"))
     ready = joined.join(parts, "id").join(succ, "id", "left").withColumn("succ", F.coalesce("succ", F.array().cast("array<bigint>")))
     member = F.struct("chrom", "id", "node_id", "node_index", "a", "b", F.col("score").cast("double").alias("score"), "succ")
-    return single.unionByName(ready.groupBy("component").agg(F.collect_list(member).alias("members")).mapInPandas(_best_paths, PEAK))
+    out = cut(single.unionByName(ready.groupBy("component").agg(F.collect_list(member).alias("members")).mapInPandas(_best_paths, PEAK)))
+    free(scored, joined, links, parts)
+    return out
 
 
 def peak_scores(peaks: DataFrame, nodes: DataFrame, track: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pathtide.operators.tracks import coalesce_runs, coverage, threshold
 from pathtide.plans.base import EDGES, LINEAR, STEPS, edges, islands_sql, linear, nodes, reads, runs_sql, steps
 from pathtide.plans.graph_sql import LMAP, called_sql, graph_background_sql, holes_sql, paths_sql
 from pathtide.plans.track_queries import CUTOFF
-from pathtide.session import cut
+from pathtide.session import cut, free
 
 #: Base pairs a read is extended by, the fragment length, the scales of the background, the q-value cutoff, the longest hole filled.
 EXTENSION, FRAGMENT, SCALES, Q_CUTOFF, HOLE = 60, 200, [200, 1000, 10000], 0.05, 30
@@ -45,14 +45,18 @@ def _turned(links: DataFrame) -> DataFrame:
 
 
 def _extended(own: DataFrame, graph: DataFrame, links: DataFrame) -> DataFrame:
-    """Flat ranges (read_id, chrom, a, b) of the reads' steps and of their extensions."""
+    """Flat ranges (chrom, node_id, a, b) of the reads' steps and of their extensions."""
     ends = _ends(own).withColumn("way", F.lit(1)).unionByName(_ends_reverse(own).withColumn("way", F.lit(-1)))
-    reached = extend_both_ways(ends, graph, links, EXTENSION).join(ends.withColumnRenamed("offset", "from_"), ["read_id", "way", "node_id"], "left")
+    walked = extend_both_ways(ends, graph, links, EXTENSION)
+    reached = walked.join(ends.withColumnRenamed("offset", "from_"), ["read_id", "way", "node_id"], "left")
     reached = reached.join(graph.select("node_id", "chrom", "node_index"), "node_id")
     lo, end = F.coalesce("from_", F.lit(0)), F.col("node_index") + F.col("size")
     a = F.when(F.col("way") > 0, F.col("node_index") + lo).otherwise(end - F.col("reach"))
     b = F.when(F.col("way") > 0, F.col("node_index") + F.col("reach")).otherwise(end - lo)
-    return cut(own.select("read_id", "chrom", "a", "b").unionByName(reached.select("read_id", "chrom", a.alias("a"), b.alias("b"))))
+    both = own.select("chrom", "node_id", "a", "b").unionByName(reached.select("chrom", "node_id", a.alias("a"), b.alias("b")))
+    out = cut(both.filter("a < b"))
+    free(walked)
+    return out
 
 
 def sample_pileup(spark: SparkSession, d: str) -> DataFrame:
@@ -140,9 +144,8 @@ def significant_runs(spark: SparkSession, d: str) -> DataFrame:
 
 def _touched(ranges: DataFrame, graph: DataFrame) -> DataFrame:
     """Nodes that ranges lie on: chrom, node_id, node_index, node_end."""
-    own = graph.select("chrom", "node_id", "node_index", (F.col("node_index") + F.col("size")).alias("node_end"))
-    hit = overlap_join(ranges.select("chrom", "a", "b").distinct(), own, ["chrom"], ("a", "b"), ("node_index", "node_end"))
-    return cut(hit.select("chrom", "node_id", "node_index", "node_end").distinct())
+    seen = ranges.select("node_id").distinct()
+    return cut(graph.join(seen, "node_id", "left_semi").select("chrom", "node_id", "node_index", (F.col("node_index") + F.col("size")).alias("node_end")))
 
 
 def _background_on_graph(own: DataFrame, graph: DataFrame, links: DataFrame, touched: DataFrame) -> tuple[DataFrame, float]:
@@ -159,7 +162,9 @@ def _background_on_graph(own: DataFrame, graph: DataFrame, links: DataFrame, tou
     scale = (F.col("lin_end") - F.col("lin_start")) / F.col("size")
     a = F.col("node_index") + F.floor((F.greatest("lin_start", "start_pos") - F.col("lin_start")) / scale)
     b = F.when(F.col("end_pos") >= F.col("lin_end"), F.col("node_end")).otherwise(F.col("node_index") + F.floor((F.col("end_pos") - F.col("lin_start")) / scale))
-    return both.select("chrom", a.alias("start_pos"), b.alias("end_pos"), "lam").filter("start_pos < end_pos"), least
+    out = cut(both.select("chrom", a.alias("start_pos"), b.alias("end_pos"), "lam").filter("start_pos < end_pos"))
+    free(lmap, starts, lam)
+    return out, least
 
 
 def background_to_graph(spark: SparkSession, d: str) -> DataFrame:
@@ -176,12 +181,18 @@ def called_peaks(spark: SparkSession, d: str) -> DataFrame:
     # All that follows the background lies on touched nodes.
     part = touched.select("chrom", "node_id", (F.col("node_end") - F.col("node_index")).cast("int").alias("size"), "node_index")
     lam, least = _background_on_graph(own, graph, links, touched)
-    sample, lam = cut(coverage(ranges, ["chrom"], "a", "b")), cut(lam)
+    sample = cut(coverage(ranges, ["chrom"], "a", "b"))
+    free(ranges)
     p = cut(p_track(sample, lam, F.lit(1.0), F.lit(1.0), F.lit(least)))
+    free(sample, lam)
     q = cut(_with_q(p, graph.agg(F.sum("size")).first()[0] or 1))
-    filled = cut(fill_holes(cut(threshold(q, ["chrom"], LEVEL)), part, links, touched, HOLE))
+    significant = cut(threshold(q, ["chrom"], LEVEL))
+    free(p)
+    filled = cut(fill_holes(significant, part, links, touched, HOLE))
     direct = cut(coverage(own, ["chrom"], "a", "b"))
-    peaks = cut(max_paths(filled, part, links, direct).withColumn("id", F.xxhash64("region_paths", "start_off")))
+    found = max_paths(filled, part, links, direct)
+    peaks = cut(found.withColumn("id", F.xxhash64("region_paths", "start_off")))
+    free(significant, filled, direct, found, own, links)
     scored = peak_scores(peaks, part, q).filter(F.col("bp") >= EXTENSION)
     return scored.select("chrom", "start_off", "end_off", "region_paths", F.lit(1).alias("direction"), F.col("score").alias("average_q_value"), F.col("is_ambiguous").cast("int").alias("is_ambigous"), F.col("is_diff").cast("int").alias("is_diff"), "bp")
 

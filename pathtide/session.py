@@ -32,21 +32,44 @@ def _cuts(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/cuts-{spark.sparkContext.applicationId}"
 
 
+#: Spark's setting to remove shuffle files when their query ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there.
 
-    Unlike a local checkpoint the files outlive any executor.
+    Unlike a local checkpoint the files outlive any executor. The shuffle files of the write are of
+    no more use when it is done, and are removed then.
     """
     spark = df.sparkSession
     path = f"{_cuts(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def free(*cuts: DataFrame) -> None:
+    """Deletes what these results of :func:`cut` stand on. Only for tables that nothing lazy reads any more."""
+    for df in cuts:
+        if getattr(df, "_cut_path", None):
+            _delete(df.sparkSession, df._cut_path)
 
 
 def clear_cuts(spark: SparkSession) -> None:
     """Deletes what the session's :func:`cut` wrote so far. To be called when the results that stand on it have been written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_cuts(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _cuts(spark))
 
 
 def sized_broadcast(small: DataFrame, rows: int, bound: int = 100_000) -> DataFrame:
