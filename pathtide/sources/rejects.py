@@ -75,13 +75,20 @@ def _score(text: str) -> float | None:
     return value
 
 
-def parse_line(line: str | None, n_columns: int | None, score_field: int | None) -> tuple | None:
-    """(reason, chromosome, start, end, name, strand, score) of one line; None if it holds no data."""
+def _data(line: str | None) -> str | None:
+    """The line without its end, None if it holds no data."""
     if line is None or not line.strip() or line.startswith(NO_DATA):
         return None
-    line = line.removesuffix("\n").removesuffix("\r")
+    return line.removesuffix("\n").removesuffix("\r")
+
+
+def parse_line(line: str | None, n_columns: int | None, score_field: int | None, fields: list[str] | None = None) -> tuple | None:
+    """(reason, chromosome, start, end, name, strand, score) of one line; None if it holds no data. ``fields`` may be given if they are known."""
+    line = _data(line)
+    if line is None:
+        return None
     try:
-        fields = _split(line)
+        fields = _split(line) if fields is None else fields
         if n_columns is None or len(fields) != n_columns or score_field is None or len(fields) <= max(score_field, 5):
             return ("columns", *[None] * 6)
         start, end = _start_end(fields[1], fields[2])
@@ -98,9 +105,13 @@ def parse_line(line: str | None, n_columns: int | None, score_field: int | None)
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = ["reason", "chromosome", "start_pos", "end_pos", "name", "strand", "score"]
     for pdf in batches:
+        data = [_data(x) for x in pdf["raw_line"]]
+        # Without quotes or line breaks within them, lines are records whatever comes next: one reader takes them all.
+        plain = [i for i, x in enumerate(data) if x is not None and not ('"' in x or "\r" in x or "\n" in x)]
+        known = dict(zip(plain, csv.reader((data[i] for i in plain), delimiter="\t", strict=True), strict=True))
         keep, out = [], []
-        for i, (line, n, place) in enumerate(zip(pdf["raw_line"], pdf["n_columns"], pdf["score_field"], strict=True)):
-            got = parse_line(line, None if pd.isna(n) else int(n), None if pd.isna(place) else int(place))
+        for i, (line, n, place) in enumerate(zip(data, pdf["n_columns"], pdf["score_field"], strict=True)):
+            got = parse_line(line, None if pd.isna(n) else int(n), None if pd.isna(place) else int(place), known.get(i))
             if got is not None:
                 keep.append(i)
                 out.append(got)
