@@ -35,15 +35,15 @@ def test_reasons():
 
 def test_tables(spark):
     lines = spark.createDataFrame(
-        [(1, 1, 1, GOOD, "a"), (1, 1, 1, GOOD, "b"), (2, 1, 2, "#", None), (3, 9, 1, GOOD, None), (4, None, 1, GOOD, None), (5, 1, None, GOOD.replace("3.5", "."), None), (6, 1, 3, None, None)],
+        [(1, 1, 1, GOOD, "a"), (1, 1, 1, GOOD, "b"), (2, 1, 2, "#", None), (3, 9, 1, GOOD, None), (4, None, 1, GOOD, None), (5, 1, None, GOOD.replace("3.5", "."), None), (6, 1, 3, None, None), (7, 1, 4, GOOD + "\r", None), (8, 1, 5, GOOD + "\r\r", None)],
         "line_id long, run_id long, line_no int, raw_line string, score_field string",
     )
     runs = spark.createDataFrame([(1, "narrowPeak", 10, 3), (1, "narrowPeak", 10, 4), (2, None, None, 1)], "run_id long, file_format string, n_columns int, line_no int")
     ok, bad = split_rejects(parse_lines(lines, runs))
-    assert [(r.line_id, r.score) for r in ok.orderBy("line_id").collect()] == [(1, 3.5), (1, 3.5), (5, None)]
+    assert [(r.line_id, r.score) for r in ok.orderBy("line_id").collect()] == [(1, 3.5), (1, 3.5), (5, None), (7, 3.5), (8, 3.5)]
     assert sorted((r.line_id, r.reason) for r in bad.collect()) == [(3, "columns"), (4, "columns")]
     assert parse_lines(lines.limit(0), runs).count() == 0
-    assert parse_lines(lines, runs.limit(0)).filter("reason = 'columns'").count() == 5
+    assert parse_lines(lines, runs.limit(0)).filter("reason = 'columns'").count() == 7
 
 
 def test_assembled_records(spark):
