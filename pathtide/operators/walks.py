@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import warnings
 
 from pyspark.sql import DataFrame, Window
@@ -101,14 +102,32 @@ def tag_windows(tags: DataFrame, keys: list[str], width: int) -> DataFrame:
     return got.select(*keys, "start", "n_tags", F.expr("s div n_tags").alias("centre"))
 
 
-def smooth(rows: DataFrame, at: str, value: str, half: int) -> DataFrame:
-    """Moving average over 2 * half + 1 neighbours with mirrored ends, for a short, gapless profile such as a lag histogram."""
+def window_weights(kind: str, half: int) -> list[float]:
+    """Weights of a window of 2 * half + 1 places: flat, bartlett, hanning, hamming or blackman."""
+    n = 2 * half
+    turn = lambda k, times=1: math.cos(2 * math.pi * times * k / n)
+    shapes = {
+        "flat": lambda k: 1.0, "bartlett": lambda k: 1 - abs(2 * k / n - 1), "hanning": lambda k: 0.5 - 0.5 * turn(k),
+        "hamming": lambda k: 0.54 - 0.46 * turn(k), "blackman": lambda k: 0.42 - 0.5 * turn(k) + 0.08 * turn(k, 2),
+    }
+    return [shapes[kind](k) for k in range(n + 1)]
+
+
+def smooth(rows: DataFrame, at: str, value: str, half: int, kind: str = "flat") -> DataFrame:
+    """Weighted moving average over 2 * half + 1 neighbours with mirrored ends, for a short, gapless profile such as a lag histogram."""
     n = rows.agg(F.min(at).alias("lo"), F.max(at).alias("hi"))
+    # One row.
     both = rows.crossJoin(F.broadcast(n))
     mirrored = both.select(F.col(at), F.col(value), F.explode(F.array(F.col(at), 2 * F.col("lo") - F.col(at), 2 * F.col("hi") - F.col(at))).alias("x"), "lo", "hi")
     mirrored = mirrored.filter(((F.col("x") >= F.col("lo") - half) & (F.col("x") <= F.col("hi") + half))).dropDuplicates(["x"])
     w = Window.orderBy("x").rowsBetween(-half, half)
-    got = mirrored.withColumn("smoothed", F.avg(value).over(w)).filter((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
+    if kind == "flat":
+        average = F.avg(value).over(w)
+    else:
+        weights = window_weights(kind, half)
+        parts = F.zip_with(F.collect_list(F.col(value).cast("double")).over(w), F.array(*map(F.lit, weights)), lambda v, c: F.coalesce(v * c, F.lit(0.0)))
+        average = F.aggregate(parts, F.lit(0.0), lambda x, y: x + y) / sum(weights)
+    got = mirrored.withColumn("smoothed", average).filter((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
     return got.select(F.col("x").alias(at), F.col(value), "smoothed")
 
 

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathtide.operators.joins import asof_join, overlap_join
+from pathtide.operators.scan import ranked
 from pathtide.operators.sequences import best_hits, interval_sequences, linear_sequences, matrix_hits
 from pathtide.operators.tracks import coverage, threshold
 from pathtide.operators.walks import border_values
 from pathtide.plans.base import EDGES, LINEAR, READS, STEPS, edges, islands_sql, linear, nodes, reads, runs_sql, steps
-from pathtide.plans.peak_queries import OVERLAP, WINDOW, _letters, _projected, _sets, shift_lags, summits
+from pathtide.plans.peak_queries import OVERLAP, WINDOW, _letters, _projected, _sets, motif_hits, motif_locations, shift_lags, summits
 from pathtide.plans.peak_queries import SQL as PEAK_SQL
 from pathtide.plans.signal_queries import peak_maxima
 from pathtide.plans.signal_queries import SQL as SIGNAL_SQL
@@ -124,6 +125,23 @@ def diff_binding(spark: SparkSession, d: str) -> DataFrame:
     return got.select("read_id", F.col("own").alias("motif_nodes"), F.col("b.way").alias("other_way"), "main_bp", (-F.col("b.k")).alias("other_bp"))
 
 
+def peaks_by_start(spark: SparkSession, d: str) -> DataFrame:
+    """Every peak's place along its chromosome's linear path, by start and id."""
+    own = _projected(spark, d).select("chrom", "read_id", "a", (-F.col("a")).alias("back"))
+    return ranked(own, ["chrom"], "back", "read_id", float(1 << 16)).select("chrom", "read_id", "a", "place")
+
+
+def motif_by_node(spark: SparkSession, d: str) -> DataFrame:
+    """How many peaks' first motif hit begins on each node, by strand."""
+    return motif_locations(spark, d).groupBy("node_id", "strand").agg(F.count(F.lit(1)).alias("n"))
+
+
+def linear_with_motif(spark: SparkSession, d: str) -> DataFrame:
+    """Linear peaks that overlap a graph peak of their factor with the motif, and the lowest such graph peak."""
+    hits = motif_hits(spark, d).select("read_id")
+    return overlap_pairs(spark, d).join(hits, "read_id", "left_semi").groupBy("lp_id").agg(F.min("read_id").alias("read_id"), F.count(F.lit(1)).alias("n"))
+
+
 def topological_check(spark: SparkSession, d: str) -> DataFrame:
     """Edges per chromosome, and those that don't lead to a higher node: the graph operators need none of these."""
     e = edges(spark, d)
@@ -218,7 +236,7 @@ def lag_summits(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    overlap_pairs, contained_peaks, reversed_intervals, shifted_peaks, super_summits, linear_peak_sequences, matrix_best_hits, diff_binding, topological_check, starts_in_regions,
+    overlap_pairs, contained_peaks, reversed_intervals, shifted_peaks, super_summits, linear_peak_sequences, matrix_best_hits, diff_binding, peaks_by_start, motif_by_node, linear_with_motif, topological_check, starts_in_regions,
     peak_table, variant_nodes, insertion_check, extended_ends, lag_summits,
 )}
 
@@ -312,3 +330,6 @@ own AS (SELECT DISTINCT read_id, node_id FROM steps),
 ed AS (SELECT o.read_id, count(*) AS n_edges FROM own o JOIN edge ON src = o.node_id JOIN own t ON t.read_id = o.read_id AND t.node_id = dst GROUP BY o.read_id),
 z AS (SELECT read_id, count(*) AS n_nodes FROM own GROUP BY read_id)
 SELECT read_id, q, bp, score AS most, n_nodes, coalesce(n_edges, 0) AS n_edges FROM (SELECT read_id, q FROM reads WHERE q IS NOT NULL AND NOT isnan(q)) JOIN pm USING (read_id) JOIN z USING (read_id) LEFT JOIN ed USING (read_id)"""
+SQL["peaks_by_start"] = _S + _PRJ + " SELECT chrom, read_id, a, row_number() OVER (PARTITION BY chrom ORDER BY a, read_id) AS place FROM prj"
+SQL["motif_by_node"] = "SELECT node_id, strand, count(*) AS n FROM (" + PEAK_SQL["motif_locations"] + ") GROUP BY ALL"
+SQL["linear_with_motif"] = "SELECT lp_id, min(read_id) AS read_id, count(*) AS n FROM (" + SQL["overlap_pairs"] + ") WHERE read_id IN (SELECT read_id FROM (" + PEAK_SQL["motif_hits"] + ")) GROUP BY lp_id"

@@ -14,6 +14,7 @@ from pathtide.plans.base import EDGES, LINEAR, STEPS, edges, islands_sql, linear
 from pathtide.plans.graph_sql import LMAP, called_sql, graph_background_sql, holes_sql, paths_sql
 from pathtide.plans.track_queries import CUTOFF
 from pathtide.session import cut, free
+from pathtide.sources.formats import read_tracks
 
 #: Base pairs a read is extended by, the fragment length, the scales of the background, the q-value cutoff, the longest hole filled.
 EXTENSION, FRAGMENT, SCALES, Q_CUTOFF, HOLE = 60, 200, [200, 1000, 10000], 0.05, 30
@@ -137,6 +138,11 @@ def q_track(spark: SparkSession, d: str) -> DataFrame:
     return coalesce_runs(_with_q(_linear_p(spark, d), _path_bp(spark, d)), ["chrom"]).withColumnRenamed("value", "q")
 
 
+def resume_significant(spark: SparkSession, path: str, total_bp: int, chromosomes: list[str] | None = None) -> DataFrame:
+    """Significant runs from the p-value tracks (chrom, start_pos, end_pos, p) an earlier run wrote, over all chromosomes or some."""
+    return threshold(_with_q(read_tracks(spark, path, chromosomes), total_bp), ["chrom"], LEVEL)
+
+
 def significant_runs(spark: SparkSession, d: str) -> DataFrame:
     """Runs whose q-value passes the cutoff."""
     return threshold(q_track(spark, d).withColumnRenamed("q", "value"), ["chrom"], LEVEL)

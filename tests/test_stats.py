@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pathtide.operators.stats import background, p_track, q_values
+from pathtide.plans.signal_queries import resume_significant
+from pathtide.sources.formats import write_track
 
 
 def test_q_values(spark):
@@ -31,3 +33,19 @@ def test_background_of_two_scales(spark):
     got = sorted((r.start_pos, r.end_pos, round(r.lam, 9)) for r in background(starts, 10, [9, 40], F.lit(0.3)).collect())
     # halves 4 and 20: one start counts 10 / 8 near it and 10 / 40 in the wide scale
     assert got == [(80, 84, 0.3), (84, 96, 0.5), (96, 100, 1.25), (100, 104, 2.5), (104, 108, 1.25), (108, 120, 0.5), (120, 124, 0.3)]
+
+
+def test_q_values_in_many_stretches(spark):
+    rows = [("c", i, i + 1 + i % 3, (i * 37 % 101) / 7) for i in range(200)]
+    p = spark.createDataFrame(rows, "chrom string, start_pos long, end_pos long, p double")
+    want = {r.p: (r.bp, r.q) for r in q_values(p, 500, step=1000.0).collect()}
+    assert {r.p: (r.bp, r.q) for r in q_values(p, 500, step=0.5).collect()} == want
+    order = sorted(want, reverse=True)
+    assert all(want[a][1] >= want[b][1] for a, b in zip(order, order[1:]))
+
+
+def test_later_stage_from_written_tracks(spark, tmp_path):
+    p = spark.createDataFrame([("c", 0, 5, 9.0), ("c", 5, 8, 8.5), ("d", 2, 4, 9.0), ("d", 7, 9, 0.1)], "chrom string, start_pos long, end_pos long, p double")
+    write_track(p, str(tmp_path / "p"))
+    assert sorted(tuple(r) for r in resume_significant(spark, str(tmp_path / "p"), 100).collect()) == [("c", 0, 8), ("d", 2, 4)]
+    assert [tuple(r) for r in resume_significant(spark, str(tmp_path / "p"), 100, ["d"]).collect()] == [("d", 2, 4)]

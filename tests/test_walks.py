@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
-from pathtide.operators.walks import NotEnoughPairs, follow, fragment_length, haplotype_paths, smooth, tag_windows, variant_aware_paths
+from pathtide.operators.walks import NotEnoughPairs, follow, fragment_length, haplotype_paths, smooth, tag_windows, variant_aware_paths, window_weights
 
 
 def test_follow(spark):
@@ -66,3 +67,16 @@ def test_fragment_length_guards(spark):
         fragment_length(spark.range(600), profile.filter("lag = 0"))
     with pytest.raises(ValueError, match="beyond"):
         fragment_length(spark.range(600), profile.selectExpr("lag + 1000 as lag", "smoothed", "is_maximum"))
+
+
+def test_shaped_windows(spark):
+    r = random.Random(5)
+    y = [r.random() for _ in range(30)]
+    rows = spark.createDataFrame(list(enumerate(y)), "lag long, n double")
+    padded = np.array(y[3:0:-1] + y + y[-2:-5:-1])
+    for kind in ("bartlett", "hanning", "hamming", "blackman"):
+        weights = getattr(np, kind)(7)
+        assert window_weights(kind, 3) == pytest.approx(weights.tolist(), abs=1e-12)
+        want = np.convolve(weights / weights.sum(), padded, mode="valid")
+        got = {x.lag: x.smoothed for x in smooth(rows, "lag", "n", 3, kind).collect()}
+        assert [got[i] for i in range(30)] == pytest.approx(want.tolist())
