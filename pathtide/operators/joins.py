@@ -14,10 +14,10 @@ BIN = 1 << 12
 
 
 def attach(rows: DataFrame, table: DataFrame, key: list[str], by: list[str], part: int = PART) -> DataFrame:
-    """``rows`` with the columns of ``table``, which has one row a key; rows without one are left out.
+    """``rows`` with the columns of ``table``, which has one row or a few a key; rows without one are left out.
 
     The rows of a key with more than ``part`` of them are divided by their columns ``by``, and the
-    key's row goes to every part.
+    key's rows of ``table`` go to every part.
     """
     hot = cut(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > part).select(*key, F.ceil(F.col("_n") / part).alias("_parts")))
     hot = sized_broadcast(hot, hot.count())
@@ -27,6 +27,11 @@ def attach(rows: DataFrame, table: DataFrame, key: list[str], by: list[str], par
     return left.join(right, [*key, "_part"]).drop("_part")
 
 
+def lookup(rows: DataFrame, table: DataFrame, key: list[str], n_rows: int, by: list[str], few: int = 100_000) -> DataFrame:
+    """``rows`` joined with ``table`` of ``n_rows`` counted rows: broadcast if these are few, else with hot keys of ``rows`` divided by their columns ``by``."""
+    return rows.join(sized_broadcast(table, n_rows, few), key) if n_rows <= few else attach(rows, table, key, by)
+
+
 def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], a_range: tuple[str, str], b_range: tuple[str, str], width: int = BIN, hot: int | None = None) -> DataFrame:
     """Pairs of rows with equal keys whose half-open ranges overlap, each pair once.
 

@@ -2,7 +2,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from pathtide.operators.joins import attach, overlap_join
+from pathtide.operators.joins import attach, lookup, overlap_join
 from pathtide.operators.scan import ranked
 from pathtide.session import clear_cuts, cut, shared_dir
 
@@ -23,6 +23,8 @@ def test_hot_keys_and_bins_are_divided(spark):
     for part in (7, 1000):
         got = sorted(tuple(r) for r in attach(rows, table, ["k"], ["i"], part).select("k", "i", "v").collect())
         assert got == sorted([("h", i, 1) for i in range(50)] + [("c", 99, 2)])
+    for few in (0, 9):
+        assert lookup(rows, table, ["k"], 3, ["i"], few).count() == 51
     a = spark.createDataFrame([("c", i, 5 * i, 5 * i + 12) for i in range(40)], "chrom string, i long, a0 long, a1 long")
     b = spark.createDataFrame([("c", j, 9 * j, 9 * j + 9) for j in range(20)] + [("d", 77, 0, 5)], "chrom string, j long, b0 long, b1 long")
     want = sorted((i, j) for i in range(40) for j in range(20) if 5 * i < 9 * j + 9 and 9 * j < 5 * i + 12)
