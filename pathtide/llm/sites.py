@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathtide.llm.linkage import Comparison, block, fit
+from pathtide.operators.joins import lookup
 from pathtide.plans.base import signature
-from pathtide.session import cut, sized_broadcast
+from pathtide.session import cut
 
 #: Width of a position block. Starts or ends are near within a share of the graph call's length and the slack: the levels of
 #: agreement, of which the loosest is the reach of the position passes.
@@ -121,7 +122,7 @@ def _site_pairs(calls: DataFrame, owners: DataFrame, linear: DataFrame, n_owners
     """
     block_of = lambda c: F.floor(F.col(c) / BLOCK_WIDTH)
     near = (F.greatest(F.col("ge") - F.col("gs"), F.lit(1)) * NEARNESS[-1] + SLACK).cast("long")
-    left = calls.join(sized_broadcast(owners, n_owners), "sample_id").withColumn("near", near)
+    left = lookup(calls, owners, ["sample_id"], n_owners, ["peak_id"]).withColumn("near", near)
     left = left.withColumn("spot", F.explode(F.sequence(F.floor((F.col("gs") - F.col("near")) / BLOCK_WIDTH), F.floor((F.col("ge") + F.col("near")) / BLOCK_WIDTH))))
     right = linear_calls(linear).withColumnRenamed("lchrom", "chrom").withColumn("spot", F.explode(F.array_distinct(F.array(block_of("ls"), block_of("le")))))
     keys = ["run_id", "chrom", "spot"]
@@ -164,11 +165,11 @@ def link_sites(peaks: DataFrame, nodes: DataFrame, samples: DataFrame, linear: D
     told = [Comparison(n, [F.lit(True)] * k) for n, k in LABEL_COMPARISONS.items()] + [support]
     owners = cut(owners.select("run_id", "sample_id", fit(owners, told).posterior().alias("owned")))
     # Then the calls themselves, by their geometry, as far as their run and sample are linked.
-    compared = pairs.join(sized_broadcast(owners, n_labels), ["run_id", "sample_id"])
+    compared = lookup(pairs, owners, ["run_id", "sample_id"], n_labels, ["peak_id", "lp_id"])
     scored = compared.withColumn("confidence", F.col("owned") * fit(compared, geometry, able="owned").posterior())
     best = scored.groupBy("run_id", "sample_id").agg(F.sum("confidence").alias("weight"))
     best = best.groupBy("run_id").agg(F.max_by("sample_id", F.struct("weight", (-F.col("sample_id")).alias("k"))).alias("sample_id"))
-    got = scored.filter(F.col("confidence") >= least).join(sized_broadcast(cut(best), n_labels), ["run_id", "sample_id"])
+    got = lookup(scored.filter(F.col("confidence") >= least), cut(best), ["run_id", "sample_id"], n_labels, ["peak_id", "lp_id"])
     got = got.select("peak_id", "lp_id", "run_id", "sample_id", "confidence", "off")
     for side in (["lp_id"], ["peak_id", "run_id"]):
         w = Window.partitionBy(*side).orderBy(F.desc("confidence"), "off", "peak_id", "lp_id")
