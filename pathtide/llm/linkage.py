@@ -53,12 +53,13 @@ class Model:
         return 1 / (1 + F.exp(-odds))
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, names: list[str], sizes: list[int], rounds: int = 200, share: float = 0.5, able: np.ndarray | None = None) -> Model:
+def estimate(patterns: np.ndarray, counts: np.ndarray, names: list[str], sizes: list[int], rounds: int = 200, share: float = 0.5, able: np.ndarray | None = None, prior: float = 0.1) -> Model:
     """EM over pattern counts. patterns: (patterns, comparisons) levels from 0, -1 where unknown.
 
     It begins with matches agreeing on most comparisons and non-matches on none in particular, so
-    that the matches are the agreeing side whatever their share. A small count is added to every
-    level, so a level unseen so far keeps a chance above 0. ``able``, at most ``counts``, is how many
+    that the matches are the agreeing side whatever their share. So many pairs of that beginning,
+    ``prior`` a level, are added to what is counted: a level unseen so far keeps a chance above 0, and
+    few pairs that all agree more or less aren't split into matches and others. ``able``, at most ``counts``, is how many
     of a pattern's pairs can be matches at all, as their owners' match tells; the share is of these.
     """
     k = len(names)
@@ -68,14 +69,14 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, names: list[str], sizes:
     m = [np.array([0.3**v for v in range(s)]) for s in sizes]
     m = [x / x.sum() for x in m]
     u = [np.full(s, 1.0 / s) for s in sizes]
+    m_prior, u_prior = ([prior * len(x) * x for x in side] for side in (m, u))
     for _ in range(rounds):
         logit = np.log(share) - np.log1p(-share) + sum(h.T @ (np.log(a) - np.log(b)) for h, a, b in zip(hot, m, u, strict=True))
         p = 1 / (1 + np.exp(-np.clip(logit, -700, 700)))
         match = able * p
         other = counts - match
         new = float(np.clip(match.sum() / total, 1e-9, 1 - 1e-9))
-        m = [(h @ match + 0.1) / (h @ match + 0.1).sum() for h in hot]
-        u = [(h @ other + 0.1) / (h @ other + 0.1).sum() for h in hot]
+        m, u = ([(h @ n + a) / (h @ n + a).sum() for h, a in zip(hot, added, strict=True)] for n, added in ((match, m_prior), (other, u_prior)))
         done, share = abs(new - share) < 1e-10, new
         if done:
             break
@@ -108,7 +109,7 @@ def block(left: DataFrame, right: DataFrame, passes: list[tuple[list[Column], li
     return out
 
 
-def fit(compared: DataFrame, comparisons: list[Comparison], able: str | None = None) -> Model:
+def fit(compared: DataFrame, comparisons: list[Comparison], able: str | None = None, prior: float = 0.1) -> Model:
     """The model of the pairs in ``compared``, which has a column c_<name> for each comparison.
 
     ``able`` names a column with the chance that a pair's owners match at all.
@@ -118,4 +119,4 @@ def fit(compared: DataFrame, comparisons: list[Comparison], able: str | None = N
     rows = compared.groupBy(*[f"c_{n}" for n in names]).agg(n.alias("n"), (F.sum(able) if able else n).alias("able")).collect()
     sizes = [len(c.levels) + 1 for c in comparisons]
     patterns = np.array([[r[f"c_{n}"] for n in names] for r in rows], dtype=np.int64).reshape(-1, len(names))
-    return estimate(patterns, np.array([r["n"] for r in rows], dtype=float), names, sizes, able=np.array([r["able"] for r in rows], dtype=float))
+    return estimate(patterns, np.array([r["n"] for r in rows], dtype=float), names, sizes, able=np.array([r["able"] for r in rows], dtype=float), prior=prior)

@@ -166,7 +166,7 @@ def link_sites(peaks: DataFrame, nodes: DataFrame, samples: DataFrame, linear: D
     owners = cut(owners.select("run_id", "sample_id", fit(owners, told).posterior().alias("owned")))
     # Then the calls themselves, by their geometry, as far as their run and sample are linked.
     compared = lookup(pairs, owners, ["run_id", "sample_id"], n_labels, ["peak_id", "lp_id"])
-    scored = compared.withColumn("confidence", F.col("owned") * fit(compared, geometry, able="owned").posterior())
+    scored = compared.withColumn("confidence", F.col("owned") * fit(compared, geometry, able="owned", prior=1.0).posterior())
     best = scored.groupBy("run_id", "sample_id").agg(F.sum("confidence").alias("weight"))
     best = best.groupBy("run_id").agg(F.max_by("sample_id", F.struct("weight", (-F.col("sample_id")).alias("k"))).alias("sample_id"))
     got = lookup(scored.filter(F.col("confidence") >= least), cut(best), ["run_id", "sample_id"], n_labels, ["peak_id", "lp_id"])
