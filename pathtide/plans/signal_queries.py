@@ -244,9 +244,13 @@ def region_paths(spark: SparkSession, d: str) -> DataFrame:
 
 def peak_maxima(spark: SparkSession, d: str) -> DataFrame:
     """The highest coverage on every peak's own path, and its length."""
-    own = reads(spark, d).select(F.col("read_id").alias("id"), F.col("s").alias("start_off"), F.col("e").alias("end_off"), F.col("rp").alias("region_paths"))
-    got = peak_scores(own, nodes(spark, d), coverage(steps(spark, d), ["chrom"], "a", "b"))
-    return got.select(F.col("id").alias("read_id"), "bp", "score")
+    # The steps are worked out once, for the coverage and for the paths it is looked up on.
+    own = cut(steps(spark, d).select("read_id", "chrom", "a", "b"))
+    cover = cut(coverage(own, ["chrom"], "a", "b"))
+    over = overlap_join(own, cover, ["chrom"], ("a", "b"), ("start_pos", "end_pos"))
+    top = over.groupBy("read_id").agg(F.max("value").alias("score"))
+    size = own.groupBy("read_id").agg(F.sum(F.col("b") - F.col("a")).alias("bp"))
+    return size.join(top, "read_id", "left").select("read_id", "bp", F.coalesce("score", F.lit(0)).alias("score"))
 
 
 def linear_path_index(spark: SparkSession, d: str) -> DataFrame:
