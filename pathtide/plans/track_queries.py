@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pathtide.operators.joins import asof_join
 from pathtide.operators.scan import scan, sharded
 from pathtide.operators.tracks import coalesce_runs, coverage, range_events, step_runs, threshold, track_totals
-from pathtide.plans.base import EDGES, LINEAR, READS, STEPS, edges, islands_sql, linear, nodes, reads, runs_sql, steps
+from pathtide.plans.base import EDGES, LINEAR, READS, STEPS, edges, islands_sql, linear, nodes, reads, runs_sql, steps, steps_once
+from pathtide.session import cut
 
 #: Least coverage of a significant run.
 CUTOFF = 3
@@ -83,10 +84,12 @@ def event_sort(spark: SparkSession, d: str) -> DataFrame:
     n = nodes(spark, d)
     ends = n.select("chrom", (F.col("node_index") + F.col("size")).alias("idx"), F.lit(0).alias("code"))
     starts = n.select("chrom", F.col("node_index").alias("idx"), F.lit(2).alias("code"))
-    changes = _graph_track(spark, d).select("chrom", F.col("start_pos").alias("idx"), F.lit(1).alias("code"))
-    each = ends.unionByName(changes).unionByName(starts).groupBy("chrom", "idx", "code").agg(F.count(F.lit(1)).alias("n"))
-    each = sharded(each.withColumn("at", F.col("idx") * 3 + F.col("code")), ["chrom"], "at")
-    return scan(each, ["chrom"], "at", sums={"upto": "n"}).select("chrom", "idx", "code", F.col("upto").cast("long").alias("upto"))
+    # The scan goes over the events twice, so the coverage is written.
+    track = cut(coverage(steps_once(spark, d, "chrom", "a", "b"), ["chrom"], "a", "b").select("chrom", F.col("start_pos").alias("idx")))
+    each = sharded(ends.unionByName(track.withColumn("code", F.lit(1))).unionByName(starts), ["chrom"], "idx")
+    # Counted within the shards, which needs no further shuffle.
+    each = each.groupBy("chrom", "shard", "idx", "code").agg(F.count(F.lit(1)).alias("n"))
+    return scan(each, ["chrom"], ["idx", "code"], sums={"upto": "n"}).select("chrom", "idx", "code", F.col("upto").cast("long").alias("upto"))
 
 
 def pileup_mean(spark: SparkSession, d: str) -> DataFrame:
