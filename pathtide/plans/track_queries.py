@@ -19,11 +19,6 @@ def _graph_track(spark: SparkSession, d: str) -> DataFrame:
     return coverage(steps(spark, d), ["chrom"], "a", "b")
 
 
-def _strand_tracks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    s = steps(spark, d)
-    return coverage(s.filter("node > 0"), ["chrom"], "a", "b"), coverage(s.filter("node < 0"), ["chrom"], "a", "b")
-
-
 def graph_positions(spark: SparkSession, d: str) -> DataFrame:
     """Flat position of every read's start: a reverse read starts at its first node's far end."""
     return steps(spark, d).filter("i = 0").select("read_id", "chrom", F.when(F.col("node") > 0, F.col("a")).otherwise(F.col("b")).alias("position"))
@@ -58,9 +53,11 @@ def track_maximum(spark: SparkSession, d: str) -> DataFrame:
 
 def scaled_tracks(spark: SparkSession, d: str) -> DataFrame:
     """Both strands' coverage per read count: the larger set is scaled down by the ratio."""
-    f, r = _strand_tracks(spark, d)
-    n = steps(spark, d).filter("i = 0").agg(F.count_if(F.col("node") > 0).alias("nf"), F.count_if(F.col("node") < 0).alias("nr"))
-    both = f.select("chrom", "start_pos", "end_pos", "value", F.lit("forward").alias("strand")).unionByName(r.select("chrom", "start_pos", "end_pos", "value", F.lit("reverse").alias("strand")))
+    strand = F.when(F.col("node") > 0, "forward").when(F.col("node") < 0, "reverse").alias("strand")
+    s = steps_once(spark, d, strand, "chrom", "a", "b", (F.col("i") == 0).alias("first")).filter("strand is not null")
+    # One pass for both strands: the strand is a key of the track.
+    both = coverage(s, ["strand", "chrom"], "a", "b")
+    n = s.filter("first").agg(F.count_if(F.col("strand") == "forward").alias("nf"), F.count_if(F.col("strand") == "reverse").alias("nr"))
     least = F.least("nf", "nr")
     factor = F.when(F.col("strand") == "forward", least / F.col("nf")).otherwise(least / F.col("nr"))
     return both.crossJoin(F.broadcast(n)).select("strand", "chrom", "start_pos", "end_pos", F.round(F.col("value") * factor, 6).alias("value"))

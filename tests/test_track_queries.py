@@ -1,5 +1,5 @@
 from pathtide.plans import base
-from pathtide.plans.track_queries import event_sort
+from pathtide.plans.track_queries import event_sort, scaled_tracks
 from pathtide.session import no_broadcast
 from tests.test_peak_queries import NODES, peaks, rows, tables
 
@@ -26,3 +26,10 @@ def test_event_sort_works_out_reads_once(spark, tmp_path):
     got = event_sort(spark, small(spark, tmp_path))
     assert "graph_peaks" not in plan(got)
     assert rows(got) == [("chr1", 0, 2, 1), ("chr1", 20, 1, 2), ("chr1", 50, 1, 3), ("chr1", 60, 0, 4), ("chr1", 60, 1, 5), ("chr1", 60, 2, 6), ("chr1", 100, 0, 7)]
+
+
+def test_scaled_tracks_work_out_reads_once(spark, tmp_path):
+    # one forward and two reverse reads: the reverse track is halved
+    got = scaled_tracks(spark, small(spark, tmp_path))
+    assert "graph_peaks" not in plan(got)
+    assert rows(got) == [("forward", "chr1", 20, 75, 1.0), ("reverse", "chr1", 20, 50, 0.5), ("reverse", "chr1", 50, 60, 1.0), ("reverse", "chr1", 60, 75, 0.5)]
