@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathtide.operators.joins import asof_join
-from pathtide.session import cut
+from pathtide.operators.scan import scan, sharded
+from pathtide.operators.tracks import range_events
+from pathtide.session import cut, no_broadcast
 
 
 def follow(choice: DataFrame, starts: DataFrame) -> DataFrame:
@@ -51,20 +53,37 @@ def border_values(nodes: DataFrame, track: DataFrame) -> DataFrame:
     return at.groupBy("node_id").agg(pick("first"), pick("last"))
 
 
+def border_sums(nodes: DataFrame, runs: DataFrame) -> DataFrame:
+    """As :func:`border_values`, for runs of whole values that may overlap and then add up: the events are summed up to each border in one scan."""
+    ends = F.array(F.struct(F.col("node_index").alias("idx"), F.lit(1).alias("side")), F.struct((F.col("node_index") + F.col("size") - 1).alias("idx"), F.lit(2).alias("side")))
+    asked = nodes.select("chrom", "node_id", F.inline(ends), F.lit(0).cast("long").alias("diff"))
+    events = range_events(runs, ["chrom"], "start_pos", "end_pos", F.col("value")).groupBy("chrom", "idx").agg(F.sum("diff").cast("long").alias("diff")).filter("diff <> 0")
+    # The scan reads its input twice. At a border's position, its events come first.
+    both = cut(events.withColumns({"node_id": F.lit(-1).cast("long"), "side": F.lit(0)}).unionByName(asked))
+    got = scan(sharded(both, ["chrom"], "idx"), ["chrom"], ["idx", "side", "node_id"], sums={"value": "diff"})
+    pick = lambda k, s: F.max(F.when(F.col("side") == k, F.col("value"))).alias(f"{s}_value")
+    return got.filter("side > 0").groupBy("node_id").agg(pick(1, "first"), pick(2, "last"))
+
+
 def variant_aware_paths(nodes: DataFrame, edges: DataFrame, deletions: DataFrame, regions: DataFrame, track: DataFrame) -> DataFrame:
     """A greedy path through each region that prefers the reference: component, path (node ids in order).
 
     nodes: node_id, chrom, size, node_index, snp, ins (booleans); deletions: src, dst; regions:
-    node_id, component. From a region's first node that is no variant, each step takes the reference
+    node_id, component; track: runs of whole values, which add up where runs overlap. From a region's first node that is no variant, each step takes the reference
     successor with the highest value at its start; a SNP with a strictly higher value goes before
     it; an insertion with at least half the value goes before these; a deletion goes before all if
     the choice so far is at most half of both the current node's last value and the deletion's.
     Ties go to the larger node.
     """
-    values = cut(border_values(nodes, track).join(nodes.select("node_id", "snp", "ins"), "node_id").join(regions, "node_id"))
+    # Only the regions' nodes have a value that counts.
+    own = cut(nodes.select("node_id", "chrom", "size", "node_index", "snp", "ins").join(no_broadcast(regions, regions.count()), "node_id"))
+    many = own.count()
+    values = cut(border_sums(own, track).join(no_broadcast(own, many).select("node_id", "snp", "ins", "component"), "node_id"))
     to = values.select(F.col("node_id").alias("dst"), F.col("component"), F.col("first_value").cast("double").alias("v"), "snp", "ins")
     out = values.select(F.col("node_id").alias("src"), F.col("component").alias("c"), F.col("last_value").cast("double").alias("here"))
-    ways = edges.select("src", "dst").join(deletions.select("src", "dst").distinct().withColumn("gap", F.lit(True)), ["src", "dst"], "left").join(to, "dst").join(out, "src").filter(F.col("c") == F.col("component"))
+    ways = edges.select("src", "dst").join(no_broadcast(to, many), "dst").join(no_broadcast(out, many), "src").filter(F.col("c") == F.col("component"))
+    gone = no_broadcast(deletions.select("src", "dst").distinct(), deletions.count())
+    ways = ways.join(gone.withColumn("gap", F.lit(True)), ["src", "dst"], "left")
     kind = F.when(F.col("gap").isNotNull(), "d").when(F.col("ins"), "i").when(F.col("snp"), "s").otherwise("r")
     none = F.struct(F.lit(-1.0).alias("v"), F.lit(-1).cast("long").alias("dst"))
     best = [F.coalesce(F.max(F.when(kind == k, F.struct("v", "dst"))), none).alias(k) for k in "rsid"]

@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathtide.operators.graph import components
-from pathtide.operators.tracks import coverage
 from pathtide.operators.walks import haplotype_paths, smooth, tag_windows, variant_aware_paths
-from pathtide.plans.base import edges, nodes, steps
-from pathtide.plans.peak_queries import _good, _hits, linear_filter, shift_lags, variant_edges
+from pathtide.plans.base import edges, nodes, steps, steps_once
+from pathtide.plans.peak_queries import _good, _hits, linear_filter, shift_lags
 from pathtide.plans.track_queries import CUTOFF
-from pathtide.session import cut
+from pathtide.session import cut, no_broadcast
 
 #: Width of a tag window; highest distance and fold of paired windows.
 TAG_WINDOW, PAIR_REACH, PAIR_FOLD = 600, 1000, 2
@@ -40,19 +39,29 @@ def ref_max_path(spark: SparkSession, d: str) -> DataFrame:
     Off-path nodes with an on-path sister (same way in, same size) are SNPs, other off-path nodes are
     insertions; edges that pass over path nodes are deletions.
     """
-    seen = cut(_counts(spark, d).filter(F.col("n") >= CUTOFF).select("node_id"))
-    e = edges(spark, d)
-    links = e.select(F.col("src").alias("a"), F.col("dst").alias("b")).join(seen.withColumnRenamed("node_id", "a"), "a").join(seen.withColumnRenamed("node_id", "b"), "b")
-    regions = components(seen.withColumnRenamed("node_id", "id"), links).withColumnRenamed("id", "node_id")
-    n = nodes(spark, d)
-    on = e.join(n.filter("path_offset is not null").select(F.col("node_id").alias("dst"), "size"), "dst").select("src", "size").distinct()
-    off = e.join(n.filter("path_offset is null").select(F.col("node_id").alias("dst"), "size"), "dst").join(on, ["src", "size"]).select(F.col("dst").alias("node_id")).distinct()
-    flagged = n.join(off.withColumn("sister", F.lit(True)), "node_id", "left")
+    s = steps_once(spark, d, "read_id", "node_id", "chrom", "a", "b")
+    seen = cut(s.groupBy("node_id").agg(F.countDistinct("read_id").alias("n")).filter(F.col("n") >= CUTOFF).select("node_id"))
+    some = no_broadcast(seen, seen.count())
+    n, e = nodes(spark, d), cut(edges(spark, d).select("src", "dst").distinct())
+    n, n_edges = no_broadcast(n, n.count()), e.count()
+    links = cut(e.join(some.withColumnRenamed("node_id", "src"), "src").join(some.withColumnRenamed("node_id", "dst"), "dst").select("src", "dst"))
+    regions = components(seen.withColumnRenamed("node_id", "id"), links.select(F.col("src").alias("a"), F.col("dst").alias("b"))).withColumnRenamed("id", "node_id")
+    own = cut(n.join(some, "node_id"))
+    own = no_broadcast(own, own.count())
     is_off = F.col("path_offset").isNull()
+    # The ways into the off-path nodes seen; the sisters, seen or not, have the same way in.
+    into = cut(e.join(own.filter(is_off).select(F.col("node_id").alias("dst"), "size"), "dst"))
+    near = e.join(no_broadcast(into.select("src").distinct(), n_edges), "src")
+    on = near.join(n.filter(~is_off).select(F.col("node_id").alias("dst"), "size"), "dst").select("src", "size").distinct()
+    off = into.join(no_broadcast(on, n_edges), ["src", "size"]).select(F.col("dst").alias("node_id")).distinct()
+    flagged = own.join(no_broadcast(off, n_edges).withColumn("sister", F.lit(True)), "node_id", "left")
     flagged = flagged.select("node_id", "chrom", "size", "node_index", (is_off & F.col("sister").isNotNull()).alias("snp"), (is_off & F.col("sister").isNull()).alias("ins"))
-    path = n.filter("path_offset is not null").select("node_id")
-    gaps = variant_edges(spark, d).join(path.withColumnRenamed("node_id", "src"), "src").join(path.withColumnRenamed("node_id", "dst"), "dst").select("src", "dst")
-    return variant_aware_paths(flagged, e, gaps, regions, coverage(steps(spark, d), ["chrom"], "a", "b"))
+    # Deletions among the nodes seen: both ends on the path, and no step of it.
+    path = own.filter(~is_off).select("node_id", "chrom", F.col("path_offset").alias("at"), (F.col("path_offset") + F.col("size")).alias("next"))
+    ends = links.join(path.select(F.col("node_id").alias("src"), F.col("chrom").alias("own"), "next"), "src").join(path.select(F.col("node_id").alias("dst"), "chrom", "at"), "dst")
+    step = F.coalesce((F.col("own") == F.col("chrom")) & (F.col("next") == F.col("at")), F.lit(False))
+    gaps = cut(ends.groupBy("src", "dst").agg(F.max(step).alias("step")).filter("not step").select("src", "dst"))
+    return variant_aware_paths(flagged, links, gaps, regions, s.select("chrom", F.col("a").alias("start_pos"), F.col("b").alias("end_pos"), F.lit(1).alias("value")))
 
 
 def _windows(spark: SparkSession, d: str) -> DataFrame:
